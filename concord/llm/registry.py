@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.llm import bpe, exact_dedup, fingerprint, langid, packing, pii, secret_scan, warc
+from concord.llm import bpe, exact_dedup, fingerprint, langid, packing, pii, secret_scan, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,

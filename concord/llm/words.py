@@ -48,23 +48,33 @@ def blocks(texts: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, counts, buffer): the words of all texts in order, and the number of words of each text."""
+def words(texts: list[bytes], separators: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hash, start, end, counts, prefix hashes): the words of all texts in order, and the number of words of each text.
+
+    start and end are bytes of the texts joined by one byte, from 1. A prefix hash is 0 for shorter words.
+    """
     buf = b"\n" + b"\n".join(texts).lower() + b"\n"
     a = np.frombuffer(buf, np.uint8)
-    space = _SPACE[a]
+    space = separators[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
     p, q = _powers(len(a))
+    heads = []
     if len(start):
         sums = np.cumsum(_BYTE[a] * p[: len(a)], dtype=np.uint64)
-        h = mix((sums[end - 1] - sums[start - 1]) * q[start])
+        before = sums[start - 1]
+        h = mix((sums[end - 1] - before) * q[start])
+        for k in prefixes:
+            x = mix((sums[np.minimum(start + k, end) - 1] - before) * q[start] + np.uint64(k))
+            x[end - start < k] = 0
+            heads.append(x)
     else:
         h = np.zeros(0, np.uint64)
+        heads = [h for _ in prefixes]
     ends = np.cumsum([len(t) + 1 for t in texts])
     at = np.searchsorted(start, ends + 1)
     counts = np.diff(np.concatenate([[0], at]))
-    return h, start, end, counts, a
+    return h, start, end, counts, heads
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
