@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import join_groups, table, written
@@ -41,7 +41,7 @@ from concord.llm.common import join_groups, table, written
 PERCENT = 75
 HEAVY = 48
 MAX_MATCH = 3
-ROUNDS = 5
+ROUNDS = 3
 BLOCK = 256
 
 
@@ -211,55 +211,80 @@ def _dense(heavy: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
         links = checked.where("linked").select("a", "b")
         if links.limit(1).count():
             labels = _merged(labels, links)
-    # what is left, block against block: an outsider of its bucket's largest component with every other component there
+    # what is left, block against block: in each group of components that open tokens join, the documents
+    # outside the group's largest component meet all of the group
     open_ = written(annotated(), "open")
     if not open_.limit(1).count():
         return labels
-    sizes = open_.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("dense").alias("dense"))
-    main = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("x")).select("tok", F.col("x.comp").alias("main"))
-    sides = sizes.join(main, "tok")
-    met = (
-        sides.where("comp != main").select("tok", F.col("comp").alias("u"), F.col("dense").alias("du"))
-        .join(sides.select("tok", F.col("comp").alias("v"), F.col("dense").alias("dv"), "main"), "tok")
-        .where("(u < v or v = main) and u != v and (du or dv)").select("u", "v").distinct()
-    )
-    members = open_.select("doc", "comp").distinct()
-    blocks = members.join(members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "comp").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
-    parts = blocks.select("comp", "parts").distinct()
-    split = (
-        met.join(parts.select(F.col("comp").alias("u"), F.col("parts").alias("pu")), "u").join(parts.select(F.col("comp").alias("v"), F.col("parts").alias("pv")), "v")
-        .withColumn("iu", F.explode(F.expr("sequence(0, int(pu) - 1)"))).withColumn("iv", F.explode(F.expr("sequence(0, int(pv) - 1)")))
-    )
-    left = split.join(blocks.select(F.col("comp").alias("u"), F.col("part").alias("iu"), "doc"), ["u", "iu"]).select("u", "v", "iu", "iv", F.lit(0).alias("side"), "doc")
-    right = split.join(blocks.select(F.col("comp").alias("v"), F.col("part").alias("iv"), "doc"), ["v", "iv"]).select("u", "v", "iu", "iv", F.lit(1).alias("side"), "doc")
+    spread = open_.select("tok", "comp").distinct()
+    group = components(spread.join(spread.groupBy("tok").agg(F.min("comp").alias("b")), "tok").where("comp != b").select(F.col("comp").alias("a"), "b").distinct())
+    members = open_.select("doc", "comp").distinct().join(group.select(F.col("doc").alias("comp"), F.col("comp").alias("g")), "comp")
+    main = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("x"))
+    members = written(members.join(main.select("g", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"), F.col("x.comp").alias("main")), "g").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")
+    left = members.where("comp != main").select("g", "i", every, F.lit(0).alias("side"), "doc", "comp")
+    right = members.select("g", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(1).alias("side"), "doc", "comp")
+    keys = ["g", "i", "j"]
     rows = left.unionByName(right).join(texts, "doc")
-    keys = ["u", "v", "iu", "iv"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").select(*keys, "side", "doc", "text")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").select(*keys, "side", "doc", "comp", "text")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, []
+        now, own, index, root = None, [], None, {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
         for batch in batches:
-            k = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc")), strict=True))
+            k = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc", "comp")), strict=True))
             found: list[list[int]] = [[], []]
-            for (u, v, iu, iv, side, doc), s in zip(k, _sets(batch.column("text").to_pylist()), strict=True):
-                if (u, v, iu, iv) != now:
-                    now, own = (u, v, iu, iv), []
+            for (*key, side, doc, comp), s in zip(k, _sets(batch.column("text").to_pylist()), strict=True):
+                if key != now:
+                    now, own, index, root = key, [], None, {}
                 if side == 0:
-                    own.append((doc, s))
+                    own.append((doc, comp, s))
+                    continue
+                if not own:
                     continue
-                for d, x in own:
-                    if 100 * min(len(x), len(s)) >= percent * max(len(x), len(s)):
-                        both = _common(x, s)
-                        if 100 * both >= percent * (len(x) + len(s) - both):
-                            found[0].append(d)
-                            found[1].append(doc)
-                            break  # one link merges the document's component
+                index = index or _Block([x for _, _, x in own])
+                for t in index.linked(s, percent):
+                    x, y = find(own[t][1]), find(comp)
+                    if x != y:
+                        # links that join what is joined already are not given out again
+                        root[max(x, y)] = min(x, y)
+                        found[0].append(own[t][0])
+                        found[1].append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     links = written(rows.mapInArrow(part, "a bigint, b bigint"), "checked")
     return _merged(labels, links) if links.limit(1).count() else labels
 
 
+class _Block:
+    """An inverted index over a block of sets: the overlaps of one more set with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        o = np.argsort(tokens, kind="stable")
+        self.owner = owner[o]
+        self.keys, self.first = np.unique(tokens[o], return_index=True)
+        self.count = np.diff(np.append(self.first, len(tokens)))
+
+    def linked(self, s: np.ndarray, percent: int) -> list[int]:
+        at = np.searchsorted(self.keys, s)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == s]
+        n = self.count[at]
+        ends = np.cumsum(n)
+        if not len(ends):
+            return []
+        hits = self.owner[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - n), n)]
+        both = np.bincount(hits, minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both)).tolist()
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text)."""
     total = docs.count()
@@ -268,7 +293,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = sig.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     member = written(join_groups(keyed.select("doc_id", "key"), groups, "key", "size", total).select("doc_id", "rep").distinct(), "members")
-    reps = keyed.join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]) if total else keyed
+    reps = keyed.join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
     posts = reps.select(F.col("doc_id").alias("doc"), F.col("n"), F.posexplode("tokens").alias("pos", "tok"))
     posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
     counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
@@ -282,7 +307,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         light.join(other, "tok").where((F.col("doc") < F.col("doc2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
         .groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b"), need.alias("need")).agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b")
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull()).dropDuplicates(["doc"]) if False else docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     checked = written(verify(pairs, texts, percent), "checked")
     links = checked.where("linked").select("a", "b")
     labels = components(links)

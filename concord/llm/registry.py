@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from concord.llm import bpe, exact_dedup, fingerprint, langid, packing, pii, secret_scan, toxicity, warc
+from concord.llm import bpe, exact_dedup, fingerprint, jaccard, langid, packing, pii, secret_scan, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_pii": pii.op2_pii,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_secret_scan": secret_scan.op6_secret_scan,
