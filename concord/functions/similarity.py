@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions import kernels
 from concord.functions.text import col, digits, present
@@ -14,7 +15,7 @@ from concord.settings import ADDRESS_STOPS, DEFAULT
 
 
 def _udf(kernel: Callable[[str, str], float], strip: bool) -> Callable:
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         clean = (lambda s: s.upper().strip()) if strip else (lambda s: s)
         return pd.Series([kernel(clean(x), clean(y)) if x and y else None for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -31,7 +32,10 @@ addr_cmp = _udf(kernels.address_components, False)
 addr_nrm = _udf(kernels.address_postal, False)
 
 
-@F.pandas_udf("name_score double, name_strategy string, addr_score double, addr_strategy string")
+_ROUTED = T.StructType([T.StructField(f"{f}_{k}", t) for f in ("name", "addr") for k, t in (("score", T.DoubleType()), ("strategy", T.StringType()))])
+
+
+@F.pandas_udf(_ROUTED)
 def routed(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b, x, y in zip(name_a, name_b, addr_a, addr_b, strict=True):

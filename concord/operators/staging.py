@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from concord.functions.text import clean_name, digits, state_from_any, zip4, zip5
 from concord.settings import UNIFIED
 
-_NULL = F.lit
-
 
 def _unified(df: DataFrame, feed: str, prefix: str, key: str, name: str, rank: int, columns: dict[str, Column]) -> DataFrame:
     text = F.lit(None).cast("string")

@@ -79,7 +79,8 @@ def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallback
         aggs.append((F.coalesce(v, value(f, fallback, priority or _PRIORITY)) if fallbacks and fallback else v).alias(f))
         if (o := origin(f, rule, priority)) is not None:
             sources.append(F.struct(F.lit(f).alias("key"), o.alias("value")))
-    out = rows.groupBy("match_group_id").agg(*aggs, F.map_from_entries(F.filter(F.array(*sources), lambda e: e["value"].isNotNull())).alias("field_sources"))
+    found = F.map_from_entries(F.filter(F.array(*sources), lambda e: e["value"].isNotNull())) if sources else F.lit(None).cast("map<string,string>")
+    out = rows.groupBy("match_group_id").agg(*aggs, found.alias("field_sources"))
     if overrides is not None:
         per = overrides.groupBy("match_group_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("o"))
         out = out.join(per, "match_group_id", "left").withColumns({f: F.coalesce(F.col("o")[f].cast(out.schema[f].dataType), F.col(f)) for f in rules}).drop("o")
