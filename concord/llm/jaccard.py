@@ -37,11 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import join_groups, table, written
+from concord.llm.exact_dedup import MAX_BITS
 
 PERCENT = 75
 HEAVY = 48
 MAX_MATCH = 3
 ROUNDS = 3
+#: Tokens that a prefix can be lengthened by, and one more for each 32 of the set.
+RESERVE = 8
 BLOCK = 256
 
 
@@ -64,7 +67,8 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 first = size - (percent * size + 99) // 100 + 1
                 n.append(size)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if size else None)
-                tokens.append(s[: min(size, first + 8 + size // 16)].view(np.int64) if size else s.view(np.int64))
+                # 48 bits order the tokens as well as 64 do and take less room in the shuffle
+                tokens.append((s[: min(size, first + RESERVE + size // 32)] >> np.uint64(16)).view(np.int64))
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             at = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n", "key", "tokens"])
@@ -74,18 +78,18 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def prefixes(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Adaptive prefixes: tok, doc, n, l, g, light, dense for every token that counts.
+    """Adaptive prefixes: tok, doc, n, l, g, h (heavy tokens in the prefix), light, dense for every token that counts.
 
     ``postings``: doc, n, found (array<struct<pos, df, tok>>: the tokens that several prefixes hold).
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, n, found in zip(*(b.column(c).to_pylist() for c in ("doc", "n", "found")), strict=True):
                 found.sort(key=lambda x: x["pos"])
                 base = n - (percent * n + 99) // 100
-                most = min(n, base + 1 + 8 + n // 16)
+                most = min(n, base + 1 + RESERVE + n // 32)
                 best, dense = None, False
                 for g in range(1, MAX_MATCH + 1):
                     # the shortest prefix of base + h + g tokens that holds h heavy ones
@@ -102,14 +106,15 @@ def prefixes(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
                         best = (cost, length, h + g, g)
                 if best is None:
                     dense, best = True, (0, base + 1, 1, 1)
+                heavy = sum(x["pos"] < best[1] and x["df"] > HEAVY for x in found)
                 for x in found:
                     if x["pos"] < best[1]:
-                        for c, v in zip(out, (x["tok"], doc, n, best[2], best[3], x["df"] <= HEAVY, dense), strict=True):
+                        for c, v in zip(out, (x["tok"], doc, n, best[2], best[3], heavy, x["df"] <= HEAVY, dense), strict=True):
                             c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["tok", "doc", "n", "l", "g", "light", "dense"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["tok", "doc", "n", "l", "g", "h", "light", "dense"])
 
-    return postings.mapInArrow(part, "tok bigint, doc bigint, n bigint, l int, g int, light boolean, dense boolean")
+    return postings.mapInArrow(part, "tok bigint, doc bigint, n bigint, l int, g int, h int, light boolean, dense boolean")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -118,7 +123,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     The partners of a document a are dealt in chunks; each chunk gets a's text once and its partners' texts
     after it, so a task holds two sets at a time.
     """
-    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(8)))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("chunk"))
     heads = dealt.select("a", "chunk").distinct().withColumn("doc", F.col("a")).withColumn("b", F.lit(None).cast("long"))
     rows = dealt.withColumn("doc", F.col("b")).select("a", "chunk", "doc", "b").unionByName(heads.select("a", "chunk", "doc", "b"))
     rows = rows.join(texts, "doc").select("a", "chunk", "b", "text")
@@ -285,6 +291,17 @@ class _Block:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both)).tolist()
 
 
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in ``ids`` (a), and some others: found by a broadcast bit table of fixed size, so that
+    the texts of the rest are not shuffled. Beyond that size the table lets more through, and the joins stay exact."""
+    n = ids.count()
+    bits = min(MAX_BITS, max(1 << 10, 1 << (16 * max(1, n) - 1).bit_length()))
+    table_ = ids.select(F.pmod(F.xxhash64("a"), F.lit(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(bits))).withColumn("word", F.shiftright("p", 6))
+    found = rows.join(F.broadcast(table_), "word").where("shiftrightunsigned(mask, cast(p & 63 as int)) & 1L = 1L").select("doc", "text")
+    return written(found, "texts")
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text)."""
     total = docs.count()
@@ -300,17 +317,28 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = posts.join(counts, "tok")
     per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
     index = written(prefixes(per_doc, percent), "prefixes")
-    light = index.where("light").select("tok", "doc", "n", "l", "g")
-    other = light.select("tok", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "l", "g")])
+    light = index.where("light").select("tok", "doc", "n", "l", "g", "h")
+    other = light.select("tok", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "l", "g", "h")])
     need = F.when(F.col("l") < F.col("l2"), F.col("g")).when(F.col("l2") < F.col("l"), F.col("g2")).otherwise(F.greatest("g", "g2"))
-    pairs = (
+    # what a pair must share in all, less what may lie behind the prefixes or among heavy tokens
+    part = lambda n: F.ceil(F.col(n) * percent / 100)
+    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(part("n") - F.col("l"), part("n2") - F.col("l2")) - F.least("h", "h2")
+    pairs = written(
         light.join(other, "tok").where((F.col("doc") < F.col("doc2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
-        .groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b"), need.alias("need")).agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b")
+        .select(F.col("doc").alias("a"), F.col("doc2").alias("b"), F.greatest(need.cast("long"), least).alias("need"), (F.col("n") + F.col("n2")).alias("m"))
+        .groupBy("a", "b", "need", "m").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b", (F.col("k") / F.col("m")).alias("near")), "pairs",
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    checked = written(verify(pairs, texts, percent), "checked")
-    links = checked.where("linked").select("a", "b")
-    labels = components(links)
+    dense = index.where("not light").select(F.col("doc").alias("a"))
+    texts = _needed(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(dense).distinct())
+    # each document's nearest candidate first; then the pairs that still join two components
+    first = pairs.select(F.col("a").alias("x"), "a", "b", "near").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "near"))
+    first = first.groupBy("x").agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    labels = components(written(verify(first, texts, percent), "checked").where("linked").select("a", "b"))
+    ends = {e: labels.select(F.col("doc").alias(e), F.col("comp").alias(f"c{e}")) for e in ("a", "b")}
+    rest = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = written(verify(rest, texts, percent), "checked").where("linked").select("a", "b")
+    if links.limit(1).count():
+        labels = _merged(labels, links)
     heavy = index.where("not light").select("tok", "doc", "n", "dense")
     if heavy.where("dense").limit(1).count():
         labels = _dense(heavy, labels, texts, percent)
