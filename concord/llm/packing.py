@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 from concord.llm.common import table, written
 
 CAPACITY = 2048
-CACHE_WORDS = 200_000
+#: Words, and stems of words, that a worker remembers; when full, the memory is emptied.
+CACHE_WORDS = 400_000
+CACHE_STEMS = 300_000
+#: Marks that the pre-tokenizer parts from letters before them. The apostrophe is not among them: contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 END = np.array([0], "<u4").tobytes()
 #: Rows that one chunk of the ranking holds, about.
 CHUNK_ROWS = 20_000
@@ -49,18 +53,57 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_stems(self, stems: list[str], size: int = 400) -> list[bytes]:
+        """Ids of strings of letters, many in one call: each ends with the only token that closes a word."""
+        groups = [stems[i : i + size] for i in range(0, len(stems), size)]
+        out: list[bytes] = []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) == len(g) and cut[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+            else:
+                out += self._encode(g)
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Puts ``fresh`` words into the cache. Letters with marks after them are two pieces, each encoded apart; letters
+        of the Latin blocks without combining marks are lower-cased first, as the tokenizer would."""
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        parts = []
+        for w in fresh:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                if max(stem) < "\u0250" and "\u0130" not in stem:
+                    stem = stem.lower()
+                parts.append((stem, w[len(stem) :]))
+            else:
+                parts.append((w, ""))
+        new = list({x for p in parts for x in p if x} - self.stems.keys())
+        letters = [x for x in new if x.isalpha()]
+        self.stems.update(zip(letters, self._encode_stems(letters), strict=True))
+        rest = [x for x in new if not x.isalpha()]
+        self.stems.update(zip(rest, self._encode(rest), strict=True))
+        get, self.stems[""] = self.stems.get, b""
+        self.cache.update((w, get(a) + get(b)) for w, (a, b) in zip(fresh, parts, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         # the information separators count as white space in Python alone, so texts with them are encoded whole
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        fresh = list(set().union(*words) - self.cache.keys())
-        self.cache.update(zip(fresh, self._encode(fresh), strict=True))
+        self._learn(list(set().union(*words) - self.cache.keys()))
         get = self.cache.get
         return [self._encode([t])[0] if o else b"".join(map(get, w)) for t, o, w in zip(texts, odd, words, strict=True)]
 
