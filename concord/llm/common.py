@@ -33,9 +33,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, path or scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

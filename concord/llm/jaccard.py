@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import join_groups, table, written
+from concord.llm.common import discard, join_groups, scratch, table, written
 from concord.llm.exact_dedup import MAX_BITS
 
 PERCENT = 75
@@ -117,12 +117,25 @@ def prefixes(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     return postings.mapInArrow(part, "tok bigint, doc bigint, n bigint, l int, g int, h int, light boolean, dense boolean")
 
 
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc, text) whose doc is in ``ids`` (x), and some others: found by a broadcast bit table of at most
+    MAX_BITS, so that the texts of the rest are not shuffled. Beyond that size it lets more through; the joins stay exact."""
+    n = ids.agg(F.approx_count_distinct("x")).first()[0]
+    bits = min(MAX_BITS, max(1 << 10, 1 << (16 * max(1, n) - 1).bit_length()))
+    place = F.pmod(F.xxhash64("x"), F.lit(bits))
+    marks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    rows = texts.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(bits))).withColumn("word", F.shiftright("p", 6))
+    return rows.join(F.broadcast(marks), "word").where("shiftrightunsigned(mask, cast(p & 63 as int)) & 1L = 1L").select("doc", "text")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, linked) for ``pairs`` (a, b), compared on the whole ``texts`` (doc, text).
 
     The partners of a document a are dealt in chunks; each chunk gets a's text once and its partners' texts
-    after it, so a task holds two sets at a time.
+    after it, so a task holds two sets at a time. Texts of documents in no pair are not shuffled.
     """
+    pairs = written(pairs, "unchecked")
+    texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("x")))
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("chunk"))
     heads = dealt.select("a", "chunk").distinct().withColumn("doc", F.col("a")).withColumn("b", F.lit(None).cast("long"))
@@ -231,7 +244,7 @@ def _dense(heavy: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
     left = members.where("comp != main").select("g", "i", every, F.lit(0).alias("side"), "doc", "comp")
     right = members.select("g", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(1).alias("side"), "doc", "comp")
     keys = ["g", "i", "j"]
-    rows = left.unionByName(right).join(texts, "doc")
+    rows = left.unionByName(right).join(_among(texts, members.select(F.col("doc").alias("x"))), "doc")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").select(*keys, "side", "doc", "comp", "text")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,32 +304,25 @@ class _Block:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both)).tolist()
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, text) of the documents in ``ids`` (a), and some others: found by a broadcast bit table of fixed size, so that
-    the texts of the rest are not shuffled. Beyond that size the table lets more through, and the joins stay exact."""
-    n = ids.count()
-    bits = min(MAX_BITS, max(1 << 10, 1 << (16 * max(1, n) - 1).bit_length()))
-    table_ = ids.select(F.pmod(F.xxhash64("a"), F.lit(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(bits))).withColumn("word", F.shiftright("p", 6))
-    found = rows.join(F.broadcast(table_), "word").where("shiftrightunsigned(mask, cast(p & 63 as int)) & 1L = 1L").select("doc", "text")
-    return written(found, "texts")
-
-
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text)."""
-    total = docs.count()
-    sig = written(signatures(docs, percent), "signatures")
+    total, spark = docs.count(), docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    path = scratch(spark, "signatures")
+    long = written(signatures(docs, percent), "signatures", path)
+    sig = written(long.select("doc_id", "n", "key"), "sizes")
     # classes of equal sets
     keyed = sig.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     member = written(join_groups(keyed.select("doc_id", "key"), groups, "key", "size", total).select("doc_id", "rep").distinct(), "members")
-    reps = keyed.join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
+    reps = long.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
     posts = reps.select(F.col("doc_id").alias("doc"), F.col("n"), F.posexplode("tokens").alias("pos", "tok"))
     posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
     counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
     shared = posts.join(counts, "tok")
     per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
     index = written(prefixes(per_doc, percent), "prefixes")
+    discard(spark, path)
     light = index.where("light").select("tok", "doc", "n", "l", "g", "h")
     other = light.select("tok", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "l", "g", "h")])
     need = F.when(F.col("l") < F.col("l2"), F.col("g")).when(F.col("l2") < F.col("l"), F.col("g2")).otherwise(F.greatest("g", "g2"))
@@ -328,11 +334,9 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select(F.col("doc").alias("a"), F.col("doc2").alias("b"), F.greatest(need.cast("long"), least).alias("need"), (F.col("n") + F.col("n2")).alias("m"))
         .groupBy("a", "b", "need", "m").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b", (F.col("k") / F.col("m")).alias("near")), "pairs",
     )
-    dense = index.where("not light").select(F.col("doc").alias("a"))
-    texts = _needed(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(dense).distinct())
     # each document's nearest candidate first; then the pairs that still join two components
     first = pairs.select(F.col("a").alias("x"), "a", "b", "near").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "near"))
-    first = first.groupBy("x").agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    first = written(first.groupBy("x").agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
     labels = components(written(verify(first, texts, percent), "checked").where("linked").select("a", "b"))
     ends = {e: labels.select(F.col("doc").alias(e), F.col("comp").alias(f"c{e}")) for e in ("a", "b")}
     rest = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
