@@ -11,10 +11,13 @@ chosen from the cost that its prefix tokens stand for:
   number of candidates, the sum of (frequency - 1) over light tokens divided by g, gets smaller. Of two
   documents the one with the smaller l decides how many they must share.
 * documents whose prefix cannot be lengthened that far (members of large groups of near copies, or texts
-  made of common passages) are dense: they keep l = 1, and heavy tokens count for them too. In these
-  buckets pairs are never listed: each round compares the documents with one leader per token, links
-  merge, and only buckets that still hold several components go on. What then remains is compared in
-  blocks, inside one task per pair of blocks, that give out links only.
+  made of common passages) are dense. All their tokens stay in the first index, so that the others find
+  them. Among themselves they go through the same once more, now with whole sets and with frequencies
+  counted among dense documents alone.
+* those that are dense then too keep l = 1, and heavy tokens count for them. In these buckets pairs are
+  never listed: each round compares the documents with one leader per token, links merge, and only
+  buckets that still hold several components go on. What then remains is compared in blocks, inside one
+  task per pair of blocks, that give out links only.
 
 Candidates are verified on their whole texts. Equal shingle sets are merged to one class first, so
 copies cost nothing. Every stage is dealt by token, pair or block; no bucket, class or component is
@@ -45,7 +48,9 @@ MAX_MATCH = 3
 ROUNDS = 3
 #: Tokens that a prefix can be lengthened by, and one more for each 32 of the set.
 RESERVE = 8
-BLOCK = 256
+#: Partners that are compared with one document in one chunk, and shingles that a block holds, about.
+CHUNK = 256
+BLOCK = 500_000
 
 
 def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -77,44 +82,94 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.mapInArrow(part, "doc_id bigint, n bigint, key binary, tokens array<bigint>")
 
 
-def prefixes(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Adaptive prefixes: tok, doc, n, l, g, h (heavy tokens in the prefix), light, dense for every token that counts.
+def postings(texts: DataFrame) -> DataFrame:
+    """doc, n, pos, tok: the whole sets of ``texts`` (doc, text)."""
 
-    ``postings``: doc, n, found (array<struct<pos, df, tok>>: the tokens that several prefixes hold).
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, s in zip(b.column("doc").to_pylist(), _sets(b.column("text").to_pylist()), strict=True):
+                size = len(s)
+                same = [pa.array(np.full(size, v, np.int64)) for v in (doc, size)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(size, dtype=np.int32)), pa.array((s >> np.uint64(16)).view(np.int64))], ["doc", "n", "pos", "tok"])
+
+    return texts.mapInArrow(part, "doc bigint, n bigint, pos int, tok bigint")
+
+
+def prefixes(found: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
+    """Adaptive prefixes: tok, doc, n, l, g, h (heavy tokens in the prefix), light, dense, first (in the 1-prefix).
+
+    ``found``: doc, n, found (array<struct<pos, df, tok>>: the tokens that several prefixes hold). A prefix may grow to the
+    whole set if ``whole``, else by the reserve. Dense documents keep all the tokens that they may.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, n, found in zip(*(b.column(c).to_pylist() for c in ("doc", "n", "found")), strict=True):
-                found.sort(key=lambda x: x["pos"])
+            col = b.column("found")
+            flat = col.flatten()
+            pos, df, tok = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "df", "tok"))
+            ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
+            rows, counts, per = [], [], []
+            start = 0
+            for doc, n, end in zip(b.column("doc").to_pylist(), b.column("n").to_pylist(), ends.tolist(), strict=True):
+                order = start + np.argsort(pos[start:end], kind="stable")
+                start = end
+                at, often = pos[order], df[order]
+                heavy = at[often > HEAVY]
                 base = n - (percent * n + 99) // 100
-                most = min(n, base + 1 + RESERVE + n // 32)
-                best, dense = None, False
+                most = n if whole else min(n, base + 1 + RESERVE + n // 32)
+                best = None
                 for g in range(1, MAX_MATCH + 1):
                     # the shortest prefix of base + h + g tokens that holds h heavy ones
                     length = base + g
-                    while True:
-                        h = sum(x["pos"] < length and x["df"] > HEAVY for x in found)
-                        if base + h + g <= length or length > most:
+                    while length <= most:
+                        h = int(np.searchsorted(heavy, length))
+                        if base + h + g <= length:
                             break
                         length = base + h + g
                     if length > most:
                         break
-                    cost = sum(x["df"] - 1 for x in found if x["pos"] < length and x["df"] <= HEAVY) / g
+                    head = often[: np.searchsorted(at, length)]
+                    cost = int((head[head <= HEAVY] - 1).sum()) / g
                     if best is None or cost < best[0]:
-                        best = (cost, length, h + g, g)
-                if best is None:
-                    dense, best = True, (0, base + 1, 1, 1)
-                heavy = sum(x["pos"] < best[1] and x["df"] > HEAVY for x in found)
-                for x in found:
-                    if x["pos"] < best[1]:
-                        for c, v in zip(out, (x["tok"], doc, n, best[2], best[3], heavy, x["df"] <= HEAVY, dense), strict=True):
-                            c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["tok", "doc", "n", "l", "g", "h", "light", "dense"])
+                        best = (cost, length, g)
+                dense = best is None
+                length, g = (most, 1) if dense else best[1:]
+                kept = order[: np.searchsorted(at, length)]
+                rows.append(kept)
+                counts.append(len(kept))
+                per.append((doc, n, length - base, g, int(np.searchsorted(heavy, length)), dense, base + 1))
+            chosen = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            doc, n, l, g, h, dense, one = (np.repeat(np.array(x), counts) for x in zip(*per, strict=True)) if per else [np.zeros(0, np.int64)] * 7
+            out = (tok[chosen], doc, n, l, g, h, df[chosen] <= HEAVY, dense, pos[chosen] < one)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds, strict=True)], ["tok", "doc", "n", "l", "g", "h", "light", "dense", "first"])
+
+    return found.mapInArrow(part, "tok bigint, doc bigint, n bigint, l int, g int, h int, light boolean, dense boolean, first boolean")
+
+
+def _index(posts: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """The prefixes over ``posts`` (tok, doc, n, pos), written."""
+    posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
+    counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
+    shared = posts.join(counts, "tok")
+    per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
+    return written(prefixes(per_doc, percent, whole), "prefixes")
 
-    return postings.mapInArrow(part, "tok bigint, doc bigint, n bigint, l int, g int, h int, light boolean, dense boolean")
+
+def candidates(index: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, near: pairs of which one is not dense and that share as many light tokens as the shorter of their prefixes asks for."""
+    columns = ("doc", "n", "l", "g", "h", "dense")
+    light = index.where("light").select("tok", *columns)
+    other = light.select("tok", *[F.col(c).alias(f"{c}2") for c in columns])
+    need = F.when(F.col("dense2"), F.col("g")).when(F.col("dense"), F.col("g2")).when(F.col("l") < F.col("l2"), F.col("g")).when(F.col("l2") < F.col("l"), F.col("g2")).otherwise(F.greatest("g", "g2"))
+    # what a pair must share in all, less what may lie behind the prefixes or among heavy tokens
+    part = lambda n: F.ceil(F.col(n) * percent / 100)
+    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(part("n") - F.col("l"), part("n2") - F.col("l2")) - F.least("h", "h2")
+    return written(
+        light.join(other, "tok").where((F.col("doc") < F.col("doc2")) & ~(F.col("dense") & F.col("dense2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
+        .select(F.col("doc").alias("a"), F.col("doc2").alias("b"), F.greatest(need.cast("long"), least).alias("need"), (F.col("n") + F.col("n2")).alias("m"))
+        .groupBy("a", "b", "need", "m").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b", (F.col("k") / F.col("m")).alias("near")), "pairs",
+    )
 
 
 def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -136,7 +191,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     """
     pairs = written(pairs, "unchecked")
     texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("x")))
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("chunk"))
     heads = dealt.select("a", "chunk").distinct().withColumn("doc", F.col("a")).withColumn("b", F.lit(None).cast("long"))
     rows = dealt.withColumn("doc", F.col("b")).select("a", "chunk", "doc", "b").unionByName(heads.select("a", "chunk", "doc", "b"))
@@ -202,24 +257,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(new.groupBy("doc").agg(F.min("comp").alias("comp")), "merged")
 
 
-def _dense(heavy: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``labels`` after all links that run over heavy tokens with a dense document."""
+def _dense(posts: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after all links between the dense documents of ``posts`` (tok, doc, n: their 1-prefixes)."""
     size_ok = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     known = None
 
     def annotated() -> DataFrame:
-        with_comp = heavy.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        spread = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("dense").alias("any")).where("lo < hi and any")
+        with_comp = posts.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        spread = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return with_comp.join(spread.select("tok"), "tok")
 
     for r in range(ROUNDS):
         open_ = written(annotated(), "open")
         if not open_.limit(1).count():
             return labels
-        # one leader a token, another one each round; dense documents first in turn
-        lead = open_.groupBy("tok").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("m"), F.col("dense").alias("d"))).alias("x"))
+        # one leader a token, another one each round
+        lead = open_.groupBy("tok").agg(F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("m"))).alias("x"))
         pairs = (
-            open_.join(lead.select("tok", "x.a", "x.ca", "x.m", "x.d"), "tok").where((F.col("comp") != F.col("ca")) & (F.col("dense") | F.col("d")) & size_ok)
+            open_.join(lead.select("tok", "x.a", "x.ca", "x.m"), "tok").where((F.col("comp") != F.col("ca")) & size_ok)
             .select("a", F.col("doc").alias("b")).distinct()
         )
         if known is not None:
@@ -237,12 +292,14 @@ def _dense(heavy: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
         return labels
     spread = open_.select("tok", "comp").distinct()
     group = components(spread.join(spread.groupBy("tok").agg(F.min("comp").alias("b")), "tok").where("comp != b").select(F.col("comp").alias("a"), "b").distinct())
-    members = open_.select("doc", "comp").distinct().join(group.select(F.col("doc").alias("comp"), F.col("comp").alias("g")), "comp")
-    main = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("x"))
-    members = written(members.join(main.select("g", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"), F.col("x.comp").alias("main")), "g").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "blocks")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")
-    left = members.where("comp != main").select("g", "i", every, F.lit(0).alias("side"), "doc", "comp")
-    right = members.select("g", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(1).alias("side"), "doc", "comp")
+    members = open_.select("doc", "comp", "n").distinct().join(group.select(F.col("doc").alias("comp"), F.col("comp").alias("g")), "comp")
+    main = members.groupBy("g", "comp").agg(F.sum("n").alias("k")).groupBy("g").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("x"))
+    parts = lambda k: F.ceil(k / BLOCK).cast("int")
+    sides = main.select("g", F.col("x.comp").alias("main"), parts(F.col("k") - F.col("x.k")).alias("lefts"), parts(F.col("k")).alias("rights"))
+    members = written(members.join(sides, "g"), "blocks")
+    placed, every = (lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    left = members.where("comp != main").select("g", placed("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "doc", "comp")
+    right = members.select("g", placed("rights").alias("j"), every("lefts").alias("i"), F.lit(1).alias("side"), "doc", "comp")
     keys = ["g", "i", "j"]
     rows = left.unionByName(right).join(_among(texts, members.select(F.col("doc").alias("x"))), "doc")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc").select(*keys, "side", "doc", "comp", "text")
@@ -316,24 +373,15 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     member = written(join_groups(keyed.select("doc_id", "key"), groups, "key", "size", total).select("doc_id", "rep").distinct(), "members")
     reps = long.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
-    posts = reps.select(F.col("doc_id").alias("doc"), F.col("n"), F.posexplode("tokens").alias("pos", "tok"))
-    posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
-    counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-    shared = posts.join(counts, "tok")
-    per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
-    index = written(prefixes(per_doc, percent), "prefixes")
+    index = _index(reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "tok")), percent, False)
     discard(spark, path)
-    light = index.where("light").select("tok", "doc", "n", "l", "g", "h")
-    other = light.select("tok", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "l", "g", "h")])
-    need = F.when(F.col("l") < F.col("l2"), F.col("g")).when(F.col("l2") < F.col("l"), F.col("g2")).otherwise(F.greatest("g", "g2"))
-    # what a pair must share in all, less what may lie behind the prefixes or among heavy tokens
-    part = lambda n: F.ceil(F.col(n) * percent / 100)
-    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(part("n") - F.col("l"), part("n2") - F.col("l2")) - F.least("h", "h2")
-    pairs = written(
-        light.join(other, "tok").where((F.col("doc") < F.col("doc2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
-        .select(F.col("doc").alias("a"), F.col("doc2").alias("b"), F.greatest(need.cast("long"), least).alias("need"), (F.col("n") + F.col("n2")).alias("m"))
-        .groupBy("a", "b", "need", "m").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("a", "b", (F.col("k") / F.col("m")).alias("near")), "pairs",
-    )
+    pairs = candidates(index, percent)
+    dense = written(index.where("dense").select("doc").distinct(), "dense")
+    again = None
+    if dense.limit(1).count():
+        own = _among(texts, dense.select(F.col("doc").alias("x"))).join(dense, "doc", "left_semi")
+        again = _index(postings(own), percent, True)
+        pairs = pairs.unionByName(candidates(again, percent))
     # each document's nearest candidate first; then the pairs that still join two components
     first = pairs.select(F.col("a").alias("x"), "a", "b", "near").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "near"))
     first = written(first.groupBy("x").agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
@@ -343,9 +391,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = written(verify(rest, texts, percent), "checked").where("linked").select("a", "b")
     if links.limit(1).count():
         labels = _merged(labels, links)
-    heavy = index.where("not light").select("tok", "doc", "n", "dense")
-    if heavy.where("dense").limit(1).count():
-        labels = _dense(heavy, labels, texts, percent)
+    if again is not None and again.where("dense").limit(1).count():
+        labels = _dense(again.where("dense and first").select("tok", "doc", "n"), labels, texts, percent)
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").withColumn("doc", F.coalesce("rep", "doc_id"))
     return out.join(labels, "doc", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc").alias("component_id"))
 
