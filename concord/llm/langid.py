@@ -145,11 +145,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     n = F.length("text")
     # windows spread over the whole text, a fixed number of each document
     cuts = [F.substring("text", F.greatest(F.lit(1), (n - WINDOW) * k / max(1, PER_DOC - 1) + 1).cast("int"), F.lit(WINDOW)) for k in range(PER_DOC)]
-    rows = (
-        docs.where(F.col("lang").isNotNull() & (n > 0) & ~held_out(F.col("doc_id")))
-        .select(F.xxhash64("doc_id").alias("h"), "lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
-        .orderBy("h", "lang").limit(sample).collect()
-    )
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    few = known.where(n > 0).select("h", "lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
+    least = lambda rows: rows.orderBy("h", "lang").limit(sample).collect()
+    # the hashes are even, so nearly always the smallest ones lie in a share of twice the sample: tasks then send that share
+    # alone, however many tasks there are
+    share = 2 * sample / max(1, known.count())
+    rows = least(few.where(F.col("h") < int(share * 2**64) - 2**63)) if share < 1 else least(few)
+    if len(rows) < sample and share < 1:
+        rows = least(few)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
