@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], size: int = 500_000) -> Iterator[tuple[int, int]]:
     """(first, end) of consecutive texts of about ``size`` bytes together."""
     first = n = 0
     for i, t in enumerate(texts):
