@@ -14,6 +14,7 @@ from concord.plans import oracle
 from concord.plans.oracle import BOTH, cmp, jac, ngr, nrm, sql, trans
 from concord.plans.pipeline import mastering, sample_decisions
 from concord.settings import ABBREVIATIONS
+from concord.sources import mess
 
 _STAGED = "source_record_id source_system source_id payor_name payor_name_clean payor_name_alt tax_id npi cms_plan_id address_line_1 address_line_2 city state_code zip_code zip_plus_4 phone website payor_type line_of_business parent_ref is_active effective_date termination_date source_trust_rank".split()
 _KEYS = "source_record_id_a source_record_id_b"
@@ -182,6 +183,45 @@ def _compare(spark: SparkSession, d: str) -> DataFrame:
     return steward.compare_fields(m.pairs, m.records, ["payor_name", "tax_id", "city"])
 
 
+_PART = "p_partkey AS entity_id, concat('Blue Cross Blue Shield of ', p_brand, ', Inc.') AS name, lpad(cast(p_partkey AS string), 9, '1') AS tax_id, 'OH' AS state, 'Erie' AS city, '44101' AS zip, concat(cast(p_size AS string), ' Main Street') AS address, concat('312555', lpad(cast(p_partkey % 10000 AS string), 4, '0')) AS phone, 'inactive' AS status"
+
+
+def _messy(spark: SparkSession, d: str) -> DataFrame:
+    """Entities made of ``part``, as four untidy feeds hold them, with orphans and confusions."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    families = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("Parent of "), "p_brand").alias("parent_name"))
+    return mess.messy(spark.sql(f"SELECT {_PART} FROM {{part}}", part=part), families)
+
+
+def _messy_sql() -> str:
+    """The same, with each choice's bucket from md5 in DuckDB."""
+    one, r = "entity_id || ':' || copy", lambda k, p, n=100: f"(('0x' || substr(md5({k} || '|{p}'), 1, 8))::UBIGINT % {n})::INT"
+    bare = r"trim(regexp_replace(name, ',?\s*(Inc|LLC|Corp)\.?$', '', 'i'))"
+    names = {
+        "crm": f"CASE WHEN {r(one, 'crm:name')} < 10 THEN {bare} || ', Inc.' WHEN {r(one, 'crm:name')} < 20 THEN {bare} || ' LLC' WHEN {r(one, 'crm:name')} < 30 THEN {bare} || ' Corp' ELSE name END",
+        "claims": f"CASE WHEN {r(one, 'claims:name')} < 40 THEN upper(name) WHEN {r(one, 'claims:name')} < 60 THEN {bare} WHEN {r(one, 'claims:name')} < 80 THEN replace({bare}, 'Blue Cross Blue Shield', 'BCBS') ELSE name END",
+        "credentialing": f"CASE WHEN {r(one, 'credentialing:name')} < 25 THEN {bare} || ' Health Inc.' ELSE name END",
+        "cms_reference": r"trim(regexp_replace(name, ',?\s*Inc\.?$', ''))",
+    }
+    swap = r(one, "claims:swap", 7)
+    taxes = {"crm": "substr(tax_id, 1, 2) || '-' || substr(tax_id, 3)", "claims": f"CASE WHEN {r(one, 'claims:tax')} < 10 THEN substr(tax_id, 1, {swap} + 1) || substr(tax_id, {swap} + 3, 1) || substr(tax_id, {swap} + 2, 1) || substr(tax_id, {swap} + 4) ELSE tax_id END"}
+    state = r(one, "claims:state", 1000)
+    parts = []
+    for f, share in mess.COVERAGE.items():
+        zip_code = f"CASE WHEN {r(one, f + ':zip')} < 30 THEN zip || '-' || lpad({r(one, f + ':plus4', 10000)}::VARCHAR, 4, '0') ELSE zip END" if f in ("claims", "cms_reference") else "zip"
+        kind, a, b, c = r(one, f + ":phone", 5), "substr(phone, 1, 3)", "substr(phone, 4, 3)", "substr(phone, 7)"
+        phone = f"CASE {kind} WHEN 0 THEN '(' || {a} || ') ' || {b} || '-' || {c} WHEN 1 THEN {a} || '-' || {b} || '-' || {c} WHEN 2 THEN {a} || '.' || {b} || '.' || {c} WHEN 3 THEN '1-' || {a} || '-' || {b} || '-' || {c} ELSE phone END"
+        copies = f"SELECT *, 0 AS copy FROM e UNION ALL SELECT *, 1 FROM e WHERE {r('entity_id', 'twice')} < {mess.TWICE}" if f == "crm" else "SELECT *, 0 AS copy FROM e"
+        spelt = f"CASE WHEN {state} < 133 THEN 'Ohio' WHEN {state} < 266 THEN 'ohio' WHEN {state} < 400 THEN 'oh' ELSE state END" if f == "claims" else "state"
+        parts.append(
+            f"SELECT '{f}' AS feed, entity_id, copy, {names[f]} AS name, {taxes.get(f, 'tax_id')} AS tax_id, {spelt} AS state, city, {zip_code} AS zip, CASE WHEN {r(one, f + ':address')} < 40 THEN replace(address, 'Street', 'St') ELSE address END AS address, "
+            f"CASE WHEN {r(one, f + ':phone:null')} >= 15 THEN {phone} END AS phone, CASE WHEN {r(one, 'stale')} < 10 THEN 'active' ELSE status END AS status FROM ({copies}) WHERE {r('entity_id', f + ':held')} < {share}"
+        )
+    parts.append(f"SELECT 'claims', -entity_id, 0, 'Regional Plan ' || entity_id, NULL, state, city, zip, address, NULL, status FROM e WHERE {r('entity_id', 'orphan')} < 5")
+    parts.append(f"SELECT 'claims', entity_id, 2, 'Parent of ' || p_brand, tax_id, state, city, zip, address, phone, status FROM e JOIN part ON p_partkey = entity_id WHERE entity_id % 3 = 0 AND {r('entity_id', 'confused')} < 25")
+    return f"WITH e AS (SELECT {_PART} FROM part) " + " UNION ALL ".join(parts)
+
+
 _CELL = "SELECT source_record_id_a, source_record_id_b, '{f}' AS field, nullif(a.{f}, '') AS value_a, nullif(b.{f}, '') AS value_b FROM pairs p JOIN u a ON a.source_record_id = source_record_id_a JOIN u b ON b.source_record_id = source_record_id_b"
 
 _QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -219,6 +259,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "audit_log": (lambda s, d: steward.audit_rows(sample_decisions(mastering(s, d).pairs)).select("entity_id", "entity_type", "action", "changed_by"), sql("SELECT candidate_id AS entity_id, 'match_candidate' AS entity_type, steward_decision AS action, 'steward' AS changed_by FROM cand_d WHERE steward_decision IS NOT NULL")),
     "dq_checks": (_dq, sql("SELECT 'not_null_tax' AS \"check\", count(*) AS failing FROM u WHERE tax_id IS NULL UNION ALL SELECT 'unique_record', count(*) FROM (SELECT source_record_id FROM u GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unique_tax', count(*) FROM (SELECT tax_id FROM u WHERE tax_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'accepted_decision', 0 UNION ALL SELECT 'accepted_rule', count(*) FROM cand WHERE match_rule NOT IN ('DET-1', 'DET-2') UNION ALL SELECT 'fk_xref_golden', 0 UNION ALL SELECT 'orphans', 0")),
     "strategy_performance": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)).where(F.col("strategy_id").startswith("NAME")).select("strategy_id", "times_won", "avg_score_when_won", "true_positives", "true_negatives"), sql("SELECT winning_name_strategy AS strategy_id, count(*) AS times_won, round(avg(overall_score), 4) AS avg_score_when_won, count(*) FILTER (WHERE final_decision = 'match' AND steward_decision = 'confirmed_match') AS true_positives, count(*) FILTER (WHERE final_decision = 'no_match' AND steward_decision = 'confirmed_no_match') AS true_negatives FROM cand_d GROUP BY 1")),
+    "messy_feeds": (_messy, _messy_sql()),
     "config_upsert": (_config_upsert, _config_sql()),
     "name_expansion": (lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", expand(F.concat(F.lit("bcbs of "), "n_name")).alias("expanded")), "SELECT n_nationkey, 'BLUE CROSS BLUE SHIELD OF ' || upper(n_name) AS expanded FROM nation"),
 }

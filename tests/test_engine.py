@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from concord.functions import kernels
 from concord.functions.text import clean_name, state_from_any, uuid5_dns, zip4, zip5
 from concord.operators import cluster, master, steward, survivorship
+from concord.sources import mess
 
 
 def test_kernels():
@@ -75,6 +76,20 @@ def test_steward(spark):
         steward.add_link("a", "a", "brand", old)
 
 
+def test_mess(spark):
+    ents = spark.range(1, 2001).select(
+        F.col("id").alias("entity_id"), F.lit("Blue Cross Blue Shield of Ohio, Inc.").alias("name"), F.when(F.col("id") % 9 != 0, "123456789").alias("tax_id"), F.lit("OH").alias("state"), F.lit("Erie").alias("city"),
+        F.lit("44101").alias("zip"), F.lit("1 Main Street").alias("address"), F.lit("3125550100").alias("phone"), F.lit("inactive").alias("status"),
+    )
+    got = mess.messy(ents, ents.where("entity_id <= 400").select("entity_id", F.lit("Parent").alias("parent_name"))).collect()
+    claims = [r for r in got if r.feed == "claims" and r.entity_id > 0 and r.copy == 0]
+    assert 1500 < len(claims) < 1700 and {r.state for r in claims} == {"OH", "Ohio", "ohio", "oh"} and len({r.phone for r in claims}) == 6
+    swapped = [r.tax_id for r in claims if r.tax_id not in (None, "123456789")]
+    assert swapped and all(sorted(x) == sorted("123456789") and sum(a != b for a, b in zip(x, "123456789", strict=True)) == 2 for x in swapped)
+    assert {r.tax_id for r in got if r.feed == "crm"} == {None, "12-3456789"} and any(r.name == "Regional Plan 7" or r.entity_id < 0 for r in got)
+    assert 50 < sum(r.name == "Parent" for r in got) < 150 and {r.copy for r in got if r.feed == "crm"} == {0, 1}
+
+
 def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
