@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from concord.functions import kernels
 from concord.functions.text import clean_name, state_from_any, uuid5_dns, zip4, zip5
 from concord.operators import cluster, master, steward, survivorship
-from concord.sources import mess
+from concord.plans.service import LAYERS, Service
+from concord.sources import feeds, mess
 
 
 def test_kernels():
@@ -90,6 +91,23 @@ def test_mess(spark):
     assert 50 < sum(r.name == "Parent" for r in got) < 150 and {r.copy for r in got if r.feed == "crm"} == {0, 1}
 
 
+def test_service(spark, tmp_path):
+    raw = feeds.derive(spark, "/root/testdata/sf0.001")
+    s = Service(spark, raw, str(tmp_path), ids="md5")
+    assert s.alive() and s.rebuild() == list(LAYERS)
+    pair = s.sql("SELECT source_record_id_a AS a, source_record_id_b AS b, final_decision FROM candidates ORDER BY 1, 2 LIMIT 1").first()
+    other = "no_match" if pair.final_decision == "match" else "match"
+    with pytest.raises(ValueError, match="unknown decision"):
+        s.write([{"a": pair.a, "b": pair.b, "decision": "confirmed_match"}, {"a": "x", "b": "y", "decision": "maybe"}])
+    assert s.audit().count() == 0
+    assert s.write([{"a": pair.b, "b": pair.a, "decision": "confirmed_" + other, "user": "u"}]) == 1 and s.audit().count() == 1
+    assert s.rebuild("candidates") == list(LAYERS[1:])
+    assert s.sql(f"SELECT final_decision AS f FROM candidates WHERE source_record_id_a = '{pair.a}' AND source_record_id_b = '{pair.b}'").first().f == other
+    for bad in (lambda: s.sql(" "), lambda: s.rebuild("nothing")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
