@@ -5,7 +5,9 @@ cues. From each anchor a deterministic parser expands to the boundaries of the c
 it; no text away from an anchor is looked at again. Base kinds are ``email``, ``ip``, ``card`` and
 ``phone``; the method adds ``url`` (scheme, host with a dot or an address, rest up to white space or a
 quote) and ``account`` (a value of 6 to 34 letters, digits and dashes with at least 4 digits after a cue
-such as IBAN, account, SSN or passport; an IBAN must pass its check digits).
+such as IBAN, account, SSN or passport; an IBAN must pass its check digits). Values are looked for in the
+34 letters and digits after the cue: an IBAN ends where its check digits hold, its country's length first;
+other values are runs of words that hold digits, with capital codes of up to four letters before such words.
 
 Nulls and edges: null text is empty; positions are code points, ends exclusive; digits are ASCII.
 A kind's spans never overlap; spans of different kinds may. A run of digits is walked once however
@@ -41,7 +43,22 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _URL = re.compile(r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>|]*)?")
-_VALUE = re.compile(r"(?:[ \t]*(?:number|no|nr|num|id))?[ \t]*[.:=#]*[ \t]*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])", re.I)
+_NEAR = r"[ \t]*[.:=#]*[ \t]*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])"
+_VALUE = re.compile(r"(?:[ \t]*(?:number|no|nr|num|id))?" + _NEAR, re.I)
+# NO is also the country of an IBAN
+_BEFORE_IBAN = re.compile(r"(?:[ \t]*(?:number|no|nr|num|id)(?![A-Za-z0-9]))?" + _NEAR, re.I)
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+_WORD = re.compile(r"[A-Za-z0-9-]+")
+
+#: length of an IBAN by country; of the ends at which the check digits hold, it decides
+_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 
 _automaton = None
 
@@ -80,6 +97,56 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _iban_end(text: str, at: int) -> int:
+    """Where the IBAN that begins at ``at`` ends; 0 without one."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    ends = [at + i for i, c in enumerate(m[0]) if c in " -"] + [m.end()]
+    own = _LENGTHS.get(m[0][:2].upper())
+    size = lambda e: sum(c not in " -" for c in text[at:e])
+    return next((e for e in sorted(ends, key=lambda e: (size(e) != own, -e)) if iban(text[at:e])), 0)
+
+
+def _ibans(text: str, at: int) -> list[tuple[int, int]]:
+    """IBANs that begin with a word near the cue that ends at ``at``."""
+    m, found = _BEFORE_IBAN.match(text, at), []
+    for w in _WORD.finditer(text, m.start(1), m.end(1)) if m else ():
+        if (not found or w.start() >= found[-1][1]) and (end := _iban_end(text, w.start())):
+            found.append((w.start(), end))
+    return found
+
+
+def _values(text: str, at: int) -> list[tuple[int, int]]:
+    """Other values near the cue that ends at ``at``: runs of words that hold digits."""
+    m, runs, code, start = _VALUE.match(text, at), [], None, None
+    for w in _WORD.finditer(text, m.start(1), m.end(1)) if m else ():
+        if any(c in DIGITS for c in w[0]):
+            if start is None:
+                start = w.start() if code is None else code
+                runs.append((start, w.end()))
+            else:
+                runs[-1] = (start, w.end())
+            code = None
+        elif code is None and len(w[0]) <= 4 and w[0].isupper() and w[0].lower() not in CUES:
+            # a code, such as a bank's, if a word with digits follows
+            code = w.start()
+        else:
+            code = start = None
+    held = lambda s, e, chars: sum(c in chars for c in text[s:e])
+    return [(s, e) for s, e in runs if held(s, e, DIGITS) >= 4 and held(s, e, LABEL - {"-"}) >= 6]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _folded(text: str) -> str:
     """Lower-cased for the cues, with the same positions."""
     low = text.lower()
@@ -91,7 +158,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return out
-    email_end = card_end = dotted_end = url_end = account_end = 0
+    email_end = card_end = dotted_end = url_end = 0
     emails, ips, cards, phones, urls, accounts = (out[k] for k in KINDS)
     for last, (kind, size) in _anchors().iter(_folded(text)):
         if kind == 0:
@@ -131,11 +198,12 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if start >= url_end and (m := _URL.match(text, last + 1)):
                 url_end = m.end() - (len(m[0]) - len(m[0].rstrip(".,;:!?)")))
                 urls.append((start, url_end))
-        elif last >= account_end and not text[max(0, last - size) : last - size + 1].isalnum() and (m := _VALUE.match(text, last + 1)):
-            value = m[1]
-            if sum(c in DIGITS for c in value) >= 4 and (size != 4 or text[last - 3 : last + 1].lower() != "iban" or iban(value)):
-                account_end = m.end(1)
-                accounts.append((m.start(1), account_end))
+        elif not text[max(0, last - size) : last - size + 1].isalnum():
+            # cues are near one another at times, so their values may be the same
+            accounts += _ibans(text, last + 1)
+            if text[last + 1 - size : last + 1].lower() != "iban":
+                accounts += _values(text, last + 1)
+    out["account"] = _merged(accounts)
     return out
 
 

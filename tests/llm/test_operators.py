@@ -44,6 +44,30 @@ def test_pii_adds_and_redacts(odd, none):
     assert pii.redacted(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 for the invoice", ["DE89 3704 0044 0532 0130 00"]),
+        ("iban DE89370400440532013000 and then more words", ["DE89370400440532013000"]),
+        ("IBAN NO93 8601 1117 947 of Kari", ["NO93 8601 1117 947"]),
+        ("the IBAN is GB29-NWBK-6016-1331-9268-19 as you know", ["GB29-NWBK-6016-1331-9268-19"]),
+        ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S is it", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        ("IBAN DE88 3704 0044 0532 0130 00 for the invoice", []),
+        ("account 12345678 is closed now", ["12345678"]),
+        ("Account GB29 NWBK 6016 1331 9268 19 was used", ["GB29 NWBK 6016 1331 9268 19"]),
+        ("acct no. 1234-5678 90 of Bob", ["1234-5678 90"]),
+        ("My SSN is 123-45-6789 and nothing else", ["123-45-6789"]),
+        ("passport AB 123456 expires soon", ["AB 123456"]),
+        ("Konto 12345678 und 87654321 sind leer", ["12345678", "87654321"]),
+        ("compte 12345678 iban DE89 3704 0044 0532 0130 00 pour", ["12345678", "DE89 3704 0044 0532 0130 00"]),
+        ("cuenta id: X1234567 de Ana", ["X1234567"]),
+        ("an account of the year 1999 in words", []),
+    ],
+)
+def test_pii_values_end_before_the_words_after_them(text, values):
+    assert [text[s:e] for s, e in pii.find(text)["account"]] == values
+
+
 def test_exact_dedup(odd, none):
     got = [tuple(r) for r in exact_dedup.assign(odd).collect()]
     rows = [(r.doc_id, (r.text or "").translate(LOWER)) for r in odd.collect()]
