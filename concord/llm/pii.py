@@ -148,9 +148,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _folded(text: str) -> str:
-    """Lower-cased for the cues, with the same positions."""
-    low = text.lower()
-    return low if len(low) == len(text) else text
+    """Lower-cased for the cues, with the same positions: lower() lengthens U+0130 alone."""
+    return text.replace("\u0130", "i").lower()
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -160,7 +159,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     email_end = card_end = dotted_end = url_end = 0
     emails, ips, cards, phones, urls, accounts = (out[k] for k in KINDS)
-    for last, (kind, size) in _anchors().iter(_folded(text)):
+    folded = _folded(text)
+    for last, (kind, size) in _anchors().iter(folded):
         if kind == 0:
             if last >= dotted_end:
                 # a digit run that no earlier chain covers: numbers joined by dots, in fours
@@ -201,7 +201,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif not text[max(0, last - size) : last - size + 1].isalnum():
             # cues are near one another at times, so their values may be the same
             accounts += _ibans(text, last + 1)
-            if text[last + 1 - size : last + 1].lower() != "iban":
+            if folded[last + 1 - size : last + 1] != "iban":
                 accounts += _values(text, last + 1)
     out["account"] = _merged(accounts)
     return out

@@ -68,6 +68,14 @@ def test_pii_values_end_before_the_words_after_them(text, values):
     assert [text[s:e] for s, e in pii.find(text)["account"]] == values
 
 
+def test_pii_capital_cues_in_a_text_that_lower_lengthens():
+    text = "\u0130stanbul: IBAN DE89 3704 0044 0532 0130 00, Account 12345678, SSN 123-45-6789, Passport X1234567, HTTP://A.example/x"
+    assert len(text.lower()) != len(text)
+    found = pii.find(text)
+    assert [text[s:e] for s, e in found["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678", "123-45-6789", "X1234567"]
+    assert [text[s:e] for s, e in found["url"]] == ["HTTP://A.example/x"] and all(len(pii._folded(chr(i))) == 1 for i in range(0x110000))
+
+
 def test_exact_dedup(odd, none):
     got = [tuple(r) for r in exact_dedup.assign(odd).collect()]
     rows = [(r.doc_id, (r.text or "").translate(LOWER)) for r in odd.collect()]
