@@ -1,11 +1,14 @@
 import uuid
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import kernels
 from concord.functions.text import clean_name, state_from_any, uuid5_dns, zip4, zip5
-from concord.operators import cluster, master, steward, survivorship
+from concord.operators import cluster, master, matching, steward, survivorship
+from concord.plans import catalogue
+from concord.plans.pipeline import mastering
 from concord.plans.service import LAYERS, Service
 from concord.sources import feeds, mess
 
@@ -108,6 +111,23 @@ def test_service(spark, tmp_path):
             bad()
 
 
+def test_strategy_performance_has_all_strategies_and_columns(spark):
+    d = "/root/testdata/sf0.001"
+    m = mastering(spark, d, decisions=True)
+    won = defaultdict(list)
+    for r in matching.decide(m.scored, m.log).collect():
+        for k in r.strategies_used:
+            won[k].append(r)
+    got = {r.strategy_id: r.asDict() for r in catalogue.queries()["strategy_performance_all"](spark, d).collect()}
+    for k, rows in won.items():
+        n = lambda f, s: sum(r.final_decision == f and r.steward_decision == s for r in rows)  # noqa: B023, E731
+        tp, fp, tn, fn = n("match", "confirmed_match"), n("match", "confirmed_no_match"), n("no_match", "confirmed_no_match"), n("no_match", "confirmed_match")
+        want = {"times_won": len(rows), "true_positives": tp, "false_positives": fp, "true_negatives": tn, "false_negatives": fn}
+        want |= {"precision_score": tp / (tp + fp) if tp + fp else None, "recall_score": tp / (tp + fn) if tp + fn else None}
+        assert {c: got[k][c] for c in want} == want and abs(got[k]["avg_score_when_won"] - sum(r.overall_score for r in rows) / len(rows)) < 1e-4
+    assert {k.split("_")[0] for k in won} == {"NAME", "ADDR", "PHONE", "TIN", "CMS"} and {k for k, v in got.items() if v["times_won"]} == set(won)
+
+
 def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
