@@ -128,6 +128,22 @@ def test_strategy_performance_has_all_strategies_and_columns(spark):
     assert {k.split("_")[0] for k in won} == {"NAME", "ADDR", "PHONE", "TIN", "CMS"} and {k for k, v in got.items() if v["times_won"]} == set(won)
 
 
+def _colour(x, y):
+    if not x or not y:
+        return "neutral" if not x and not y else "red"
+    return "green" if x == y else "yellow" if x[:3].lower() == y[:3].lower() else "red"
+
+
+def test_field_compare_has_all_fields(spark):
+    d = "/root/testdata/sf0.001"
+    m = mastering(spark, d)
+    by = {r.source_record_id: r for r in m.records.collect()}
+    fields = "payor_name tax_id npi cms_plan_id address_line_1 city state_code zip_code phone payor_type".split()
+    cells = ((a, b, f, by[a][f] or None, by[b][f] or None) for a, b in m.pairs.collect() for f in fields)
+    got = [tuple(r) for r in catalogue.queries()["field_compare_all"](spark, d).collect()]
+    assert sorted(got, key=str) == sorted(((*c, _colour(c[3], c[4])) for c in cells), key=str) and {r[5] for r in got} >= {"neutral", "green", "red"}
+
+
 def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
