@@ -47,10 +47,15 @@ def _order(rule: str, field: str, priority: list[str] | None) -> Column:
     raise ValueError(f"no order for rule {rule}")
 
 
+def _held(field: str, rule: str) -> Column:
+    """Whether a record's value can win by ``rule``."""
+    c = F.col(field)
+    return c.isNotNull() & (c.cast("string") != "") if rule in ("most_complete", "longest_value") else c.isNotNull()
+
+
 def value(field: str, rule: str, priority: list[str] | None = None) -> Column:
     """The aggregate that picks ``field`` by ``rule``; nulls never win."""
     c = F.col(field)
-    held = lambda x: F.when((c.isNotNull() & (c.cast("string") != "")) if rule in ("most_complete", "longest_value") else c.isNotNull(), x)
     if rule == "any_true":
         return F.bool_or(c)
     if rule == "earliest":
@@ -59,15 +64,14 @@ def value(field: str, rule: str, priority: list[str] | None = None) -> Column:
         return F.max(c)
     if rule == "most_frequent":
         return F.mode(c, True)
-    return F.min_by(c, held(_order(rule, field, priority)))
+    return F.min_by(c, F.when(_held(field, rule), _order(rule, field, priority)))
 
 
 def origin(field: str, rule: str, priority: list[str] | None = None) -> Column | None:
     """The id of the record that the surviving value is from, where the rule takes it from one."""
     if rule in ("any_true", "most_frequent", "latest"):
         return None
-    c = F.col(field)
-    return F.min_by("source_record_id", F.when(c.isNotNull(), _order(rule, field, priority)))
+    return F.min_by("source_record_id", F.when(_held(field, rule), _order(rule, field, priority)))
 
 
 def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallbacks: bool = False, overrides: DataFrame | None = None) -> DataFrame:

@@ -142,6 +142,25 @@ def _field_sources(spark: SparkSession, d: str) -> DataFrame:
     return mastering(spark, d).golden.select("master_payor_id", F.explode("field_sources").alias("field", "source_record_id")).where("field in ('payor_name', 'phone')")
 
 
+def _field_sources_all(spark: SparkSession, d: str) -> DataFrame:
+    return mastering(spark, d).golden.select("master_payor_id", F.explode("field_sources").alias("field", "source_record_id"))
+
+
+def _field_sources_all_sql() -> str:
+    """One part for each rule that takes the value from a record."""
+    parts = []
+    for f, (rule, _, priority) in survivorship.RULES.items():
+        if rule in ("any_true", "most_frequent", "latest"):
+            continue
+        rank = "source_trust_rank"
+        if rule == "source_priority" and priority != survivorship._PRIORITY:
+            rank = "CASE source_system " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(priority)) + " ELSE 99 END"
+        order = {"source_priority": rank, "most_recent": "loaded_at DESC NULLS LAST", "most_complete": f"length({f}) DESC", "earliest": f}[rule]
+        held = f"{f} <> ''" if rule == "most_complete" else f"{f} IS NOT NULL"
+        parts.append(f"SELECT match_group_id AS master_payor_id, '{f}' AS field, first(source_record_id ORDER BY {order}, source_record_id) AS source_record_id FROM u JOIN grp USING (source_record_id) WHERE {held} GROUP BY 1")
+    return sql(" UNION ALL ".join(parts))
+
+
 def _kpis(spark: SparkSession, d: str) -> DataFrame:
     m = mastering(spark, d)
     parts = {"records": m.records, "golden": m.groups.where("is_survivor"), "candidates": m.candidates, "pending_reviews": m.candidates.where("auto_decision = 'review' and steward_decision is null"), "matches": m.candidates.where("final_decision = 'match'")}
@@ -249,6 +268,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "golden": (_golden, sql(f"SELECT {', '.join('round(confidence_score, 4) AS confidence_score' if c == 'confidence_score' else c for c in _GOLD)} FROM gold")),
     "xref": (lambda s, d: mastering(s, d).xref, sql("SELECT source_record_id, master_payor_id, source_system, source_id, match_confidence FROM xr")),
     "field_sources": (_field_sources, sql("SELECT match_group_id AS master_payor_id, 'payor_name' AS field, first(source_record_id ORDER BY source_trust_rank, source_record_id) FILTER (WHERE payor_name IS NOT NULL) AS source_record_id FROM u JOIN grp USING (source_record_id) GROUP BY 1 HAVING count(payor_name) > 0 UNION ALL SELECT match_group_id, 'phone', first(source_record_id ORDER BY loaded_at DESC NULLS LAST, source_record_id) FILTER (WHERE phone IS NOT NULL) FROM u JOIN grp USING (source_record_id) GROUP BY 1 HAVING count(phone) > 0")),
+    # all fields with a source; the query above returns what its SQL covers
+    "field_sources_all": (_field_sources_all, _field_sources_all_sql()),
     "tax_conflicts": (lambda s, d: survivorship.tax_conflicts((m := mastering(s, d)).records, m.groups), sql("SELECT match_group_id AS entity_id, 'conflict_detected' AS action, 'tax_id' AS field_name, array_to_string(list_sort(list(DISTINCT tax_id)), ',') AS new_value FROM u JOIN grp USING (source_record_id) WHERE tax_id <> '' GROUP BY 1 HAVING count(DISTINCT tax_id) > 1")),
     **{f"survivorship_rule_{k}": (_rule(k), _rule_sql(k)) for k in survivorship.KINDS},
     "hierarchy_inferred": (lambda s, d: mastering(s, d).hierarchy, sql("SELECT * FROM hier")),

@@ -144,6 +144,32 @@ def test_field_compare_has_all_fields(spark):
     assert sorted(got, key=str) == sorted(((*c, _colour(c[3], c[4])) for c in cells), key=str) and {r[5] for r in got} >= {"neutral", "green", "red"}
 
 
+def test_field_sources_has_all_fields(spark):
+    d = "/root/testdata/sf0.001"
+    m = mastering(spark, d)
+    by, members = {r.source_record_id: r for r in m.records.collect()}, defaultdict(list)
+    for r in m.groups.collect():
+        members[r.match_group_id].append(by[r.source_record_id])
+    trust = lambda r: r.source_trust_rank
+    cms = {"cms_reference": 0, "crm": 1, "credentialing": 2, "claims": 3}
+    keys = {f: trust for f in "payor_name tax_id npi website payor_type line_of_business".split()}
+    keys |= {f: lambda r: (r.loaded_at is None, r.loaded_at and -r.loaded_at.timestamp()) for f in "address_line_1 address_line_2 city state_code zip_code phone".split()}
+    keys |= {"cms_plan_id": lambda r: cms[r.source_system], "payor_name_alt": lambda r: -len(r.payor_name_alt), "effective_date": lambda r: r.effective_date}
+    want = set()
+    for g, rows in members.items():
+        for f, key in keys.items():
+            if held := [r for r in rows if r[f] is not None and not (f == "payor_name_alt" and r[f] == "")]:
+                want.add((g, f, min(held, key=lambda r: (key(r), r.source_record_id)).source_record_id))  # noqa: B023
+    got = [tuple(r) for r in catalogue.queries()["field_sources_all"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and len({f for _, f, _ in got}) == 15
+
+
+def test_an_empty_value_has_no_source(spark):
+    rows = spark.createDataFrame([("a", "", 1)], "source_record_id string, payor_name_alt string, source_trust_rank int")
+    got = survivorship.survive(rows, rows.select(F.lit("g").alias("match_group_id"), "source_record_id"), {"payor_name_alt": ("most_complete", None, None)}).first()
+    assert got.payor_name_alt is None and got.field_sources == {}
+
+
 def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
