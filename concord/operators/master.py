@@ -68,13 +68,14 @@ def unassigned(gold: DataFrame, links: DataFrame) -> DataFrame:
     return gold.join(ends, "master_payor_id", "left_anti")
 
 
-def tree(links: DataFrame, most: int = 20) -> DataFrame:
-    """Every path from a root (a parent that is no child): root, node, depth. Cycles end where they close."""
+def tree(links: DataFrame, most: int | None = None) -> DataFrame:
+    """Every path from a root (a parent that is no child): root, node, depth. Cycles end where they close; only a caller's ``most`` bounds the depth."""
     pairs = links.select("parent_master_id", "child_master_id").distinct()
     roots = pairs.select(F.col("parent_master_id").alias("root")).distinct().join(pairs.select(F.col("child_master_id").alias("root")).distinct(), "root", "left_anti")
     return pairs.sparkSession.sql(
-        "WITH RECURSIVE t(root, node, depth, path) AS (SELECT root, root, 0, array(root) FROM {roots} UNION ALL "
+        # Spark's own limit on levels is 100
+        "WITH RECURSIVE t(root, node, depth, path) MAX RECURSION LEVEL 2147483647 AS (SELECT root, root, 0, array(root) FROM {roots} UNION ALL "
         "SELECT t.root, p.child_master_id, t.depth + 1, array_append(t.path, p.child_master_id) FROM t JOIN {pairs} p ON p.parent_master_id = t.node "
-        f"WHERE NOT array_contains(t.path, p.child_master_id) AND t.depth < {int(most)}) SELECT root, node, depth FROM t",
+        f"WHERE NOT array_contains(t.path, p.child_master_id){'' if most is None else f' AND t.depth < {int(most)}'}) SELECT root, node, depth FROM t",
         roots=roots, pairs=pairs,
     )

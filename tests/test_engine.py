@@ -73,6 +73,12 @@ def test_hierarchy_tree(spark):
     assert {(r.root, r.node, r.depth) for r in master.tree(links).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "d", 1), ("a", "c", 2)}
 
 
+def test_hierarchy_tree_is_followed_to_its_end(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(25)], "parent_master_id string, child_master_id string")
+    assert {(r.root, r.node, r.depth) for r in master.tree(links).collect()} == {("n0", f"n{i}", i) for i in range(26)}
+    assert master.tree(links, most=5).count() == 6
+
+
 def test_steward(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert {tuple(r) for r in steward.upsert(old, spark.createDataFrame([("b", 3), ("c", 4)], old.schema), "k").collect()} == {("a", 1), ("b", 3), ("c", 4)}
