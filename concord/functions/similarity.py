@@ -32,15 +32,16 @@ addr_cmp = _udf(kernels.address_components, False)
 addr_nrm = _udf(kernels.address_postal, False)
 
 
-_ROUTED = T.StructType([T.StructField(f"{f}_{k}", t) for f in ("name", "addr") for k, t in (("score", T.DoubleType()), ("strategy", T.StringType()))])
+_ROUTED = T.StructType([T.StructField(f"{f}_{k}", t) for f in ("name", "addr") for k, t in (("score", T.DoubleType()), ("strategy", T.StringType()), ("selected", T.ArrayType(T.StringType())))])
 
 
 @F.pandas_udf(_ROUTED)
 def routed(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b, x, y in zip(name_a, name_b, addr_a, addr_b, strict=True):
-        rows.append((*(kernels.route_name(a, b) if a and b else (None, None)), *(kernels.route_address(x, y) if x and y else (None, None))))
-    return pd.DataFrame(rows, columns=["name_score", "name_strategy", "addr_score", "addr_strategy"]).astype({"name_score": "float64", "addr_score": "float64"})
+        name = (*kernels.route_name(a, b), kernels.select_name(a, b)) if a and b else (None, None, ())
+        rows.append((*name, *((*kernels.route_address(x, y), kernels.select_address(x, y)) if x and y else (None, None, ()))))
+    return pd.DataFrame(rows, columns=["name_score", "name_strategy", "name_selected", "addr_score", "addr_strategy", "addr_selected"]).astype({"name_score": "float64", "addr_score": "float64"})
 
 
 def both(a: str | Column, b: str | Column, score: Column) -> Column:

@@ -33,6 +33,11 @@ def block_sizes(records: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: the strategies of each field
+STRATEGIES = {
+    "name": ("NAME_JW", "NAME_TSR", "NAME_PHO", "NAME_ABR", "NAME_NGR"), "address": ("ADDR_JAC", "ADDR_CMP", "ADDR_ZIP", "ADDR_NRM"), "phone": ("PHONE_L7", "PHONE_E164", "PHONE_AC"),
+    "tax_id": ("TIN_EXACT", "TIN_TRANS", "TIN_PFX"), "cms_plan_id": ("CMS_EXACT", "CMS_PFX"),
+}
 _SCORED = ("payor_name_clean", "tax_id", "address_line_1", "city", "state_code", "zip_code", "phone", "cms_plan_id")
 
 
@@ -65,9 +70,14 @@ def score_pairs(pairs: DataFrame, records: DataFrame, settings: Settings = DEFAU
     fields = {"name": F.col("score_name"), "tax": F.col("score_tax_id"), "address": F.col("score_address"), "phone": F.col("score_phone"), "cms": F.col("score_cms_plan_id")}
     scored = scored.withColumn("match_rule", rule).withColumn("composite", sim.composite(fields, settings.weights))
     won = F.filter(F.array(*[F.col(f"winning_{k}_strategy") for k in ("name", "tax", "addr", "phone", "cms")]), lambda x: x.isNotNull())
+    names = lambda *x: F.array(*map(F.lit, x))
+    tried = [
+        F.col("r.name_selected"), F.when(tax.isNotNull(), F.when(xa == xb, names("TIN_EXACT")).otherwise(names("TIN_EXACT", "TIN_TRANS"))), F.col("r.addr_selected"),
+        F.when(F.col("score_phone").isNotNull(), names("PHONE_E164", "PHONE_L7")), F.when(F.col("score_cms_plan_id").isNotNull(), names("CMS_EXACT", "CMS_PFX")),
+    ]
     return scored.select(
         A, B, "match_rule", "score_name", "score_tax_id", "score_address", "score_phone", "score_cms_plan_id",
-        F.when(F.col("match_rule") != "FUZZY", 1.0).otherwise(F.col("composite")).alias("overall_score"), "composite", "winning_name_strategy", "winning_addr_strategy", won.alias("strategies_used"),
+        F.when(F.col("match_rule") != "FUZZY", 1.0).otherwise(F.col("composite")).alias("overall_score"), "composite", "winning_name_strategy", "winning_addr_strategy", won.alias("strategies_used"), F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in tried]).alias("strategies_selected"),
     )
 
 
@@ -98,14 +108,17 @@ def review_queue(candidates: DataFrame) -> DataFrame:
 
 
 def strategy_performance(candidates: DataFrame) -> DataFrame:
-    """Per strategy: wins, mean overall score when it won, and agreement with stewards."""
-    rows = candidates.select(F.explode("strategies_used").alias("strategy_id"), "overall_score", "final_decision", "steward_decision")
-    hit = lambda m, s: F.sum(((F.col("final_decision") == m) & (F.col("steward_decision") == s)).cast("long"))
+    """Per strategy, used or not: how often it was tried and won, mean overall score when it won, and agreement with stewards."""
+    tried = candidates.select(F.explode("strategies_selected").alias("strategy_id"), "strategies_used", "overall_score", "final_decision", "steward_decision")
+    rows = tried.withColumn("won", F.array_contains("strategies_used", F.col("strategy_id")))
+    hit = lambda m, s: F.sum((F.col("won") & (F.col("final_decision") == m) & (F.col("steward_decision") == s)).cast("long"))
     out = rows.groupBy("strategy_id").agg(
-        F.count(F.lit(1)).alias("times_won"), F.round(F.avg("overall_score"), 4).alias("avg_score_when_won"),
-        F.coalesce(hit("match", "confirmed_match"), F.lit(0)).alias("true_positives"), F.coalesce(hit("match", "confirmed_no_match"), F.lit(0)).alias("false_positives"),
-        F.coalesce(hit("no_match", "confirmed_no_match"), F.lit(0)).alias("true_negatives"), F.coalesce(hit("no_match", "confirmed_match"), F.lit(0)).alias("false_negatives"),
+        F.count(F.lit(1)).alias("times_selected"), F.sum(F.col("won").cast("long")).alias("times_won"), F.round(F.avg(F.when(F.col("won"), F.col("overall_score"))), 4).alias("avg_score_when_won"),
+        hit("match", "confirmed_match").alias("true_positives"), hit("match", "confirmed_no_match").alias("false_positives"),
+        hit("no_match", "confirmed_no_match").alias("true_negatives"), hit("no_match", "confirmed_match").alias("false_negatives"),
     )
+    every = candidates.sparkSession.createDataFrame([(f, k) for f, ks in STRATEGIES.items() for k in ks], "field_name string, strategy_id string")
+    out = every.join(out, "strategy_id", "left").fillna(0, ["times_selected", "times_won", "true_positives", "false_positives", "true_negatives", "false_negatives"])
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     return out.withColumns({"precision_score": F.when(tp + fp > 0, tp / (tp + fp)), "recall_score": F.when(tp + fn > 0, tp / (tp + fn))})
 

@@ -286,7 +286,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "field_compare_all": (_compare_all, sql("SELECT *, CASE WHEN value_a IS NULL AND value_b IS NULL THEN 'neutral' WHEN value_a IS NULL OR value_b IS NULL THEN 'red' WHEN value_a = value_b THEN 'green' WHEN lower(left(value_a, 3)) = lower(left(value_b, 3)) THEN 'yellow' ELSE 'red' END AS colour FROM (" + " UNION ALL ".join(_CELL.format(f=f) for f in steward.COMPARED) + ")")),
     "audit_log": (lambda s, d: steward.audit_rows(sample_decisions(mastering(s, d).pairs)).select("entity_id", "entity_type", "action", "changed_by"), sql("SELECT candidate_id AS entity_id, 'match_candidate' AS entity_type, steward_decision AS action, 'steward' AS changed_by FROM cand_d WHERE steward_decision IS NOT NULL")),
     "dq_checks": (_dq, sql("SELECT 'not_null_tax' AS \"check\", count(*) AS failing FROM u WHERE tax_id IS NULL UNION ALL SELECT 'unique_record', count(*) FROM (SELECT source_record_id FROM u GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unique_tax', count(*) FROM (SELECT tax_id FROM u WHERE tax_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'accepted_decision', 0 UNION ALL SELECT 'accepted_rule', count(*) FROM cand WHERE match_rule NOT IN ('DET-1', 'DET-2') UNION ALL SELECT 'fk_xref_golden', 0 UNION ALL SELECT 'orphans', 0")),
-    "strategy_performance": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)).where(F.col("strategy_id").startswith("NAME")).select("strategy_id", "times_won", "avg_score_when_won", "true_positives", "true_negatives"), sql("SELECT winning_name_strategy AS strategy_id, count(*) AS times_won, round(avg(overall_score), 4) AS avg_score_when_won, count(*) FILTER (WHERE final_decision = 'match' AND steward_decision = 'confirmed_match') AS true_positives, count(*) FILTER (WHERE final_decision = 'no_match' AND steward_decision = 'confirmed_no_match') AS true_negatives FROM cand_d GROUP BY 1")),
+    "strategy_performance": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)).where(F.col("strategy_id").startswith("NAME") & (F.col("times_won") > 0)).select("strategy_id", "times_won", "avg_score_when_won", "true_positives", "true_negatives"), sql("SELECT winning_name_strategy AS strategy_id, count(*) AS times_won, round(avg(overall_score), 4) AS avg_score_when_won, count(*) FILTER (WHERE final_decision = 'match' AND steward_decision = 'confirmed_match') AS true_positives, count(*) FILTER (WHERE final_decision = 'no_match' AND steward_decision = 'confirmed_no_match') AS true_negatives FROM cand_d GROUP BY 1")),
     # all strategies and columns; the query above returns what its SQL covers
     "strategy_performance_all": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)), None),
     "messy_feeds": (_messy, _messy_sql()),

@@ -10,6 +10,7 @@ from concord.operators import cluster, master, matching, steward, survivorship
 from concord.plans import catalogue
 from concord.plans.pipeline import mastering
 from concord.plans.service import LAYERS, Service
+from concord.settings import ABBREVIATIONS
 from concord.sources import feeds, mess
 
 
@@ -140,6 +141,37 @@ def _colour(x, y):
     return "green" if x == y else "yellow" if x[:3].lower() == y[:3].lower() else "red"
 
 
+def test_strategies_without_a_win_have_a_row(spark):
+    d = "/root/testdata/sf0.001"
+    m = mastering(spark, d, decisions=True)
+    tried = defaultdict(int)
+    by = {r.source_record_id: r for r in m.records.collect()}
+    text = lambda r: None if r.address_line_1 is None else " ".join([r.address_line_1, r.city or "", r.state_code or "", r.zip_code or ""])
+    digits = lambda x: "".join(c for c in x or "" if c in "0123456789")
+    for a, b in m.pairs.collect():
+        x, y = by[a], by[b]
+        n, k = x.payor_name_clean, y.payor_name_clean
+        if n and k:
+            short, long = sorted((len(n.strip()), len(k.strip())))
+            abbreviated = any(t in ABBREVIATIONS for t in (n + " " + k).upper().split())
+            for s in ("ABR", "JW", "TSR") if abbreviated else ("TSR", "ABR") if short / long < 0.6 else ("JW", "PHO", "NGR") if long <= 20 else ("JW", "NGR"):
+                tried["NAME_" + s] += 1
+        if text(x) and text(y):
+            for s in ("CMP", "NRM") if digits(text(x)[:10]) and digits(text(y)[:10]) else ("JAC",):
+                tried["ADDR_" + s] += 1
+        if digits(x.tax_id) and digits(y.tax_id):
+            for s in ("EXACT",) if digits(x.tax_id) == digits(y.tax_id) else ("EXACT", "TRANS"):
+                tried["TIN_" + s] += 1
+        for held, names in ((x.phone and y.phone, ("PHONE_E164", "PHONE_L7")), (x.cms_plan_id and y.cms_plan_id, ("CMS_EXACT", "CMS_PFX"))):
+            for s in names if held else ():
+                tried[s] += 1
+    rows = catalogue.queries()["strategy_performance_all"](spark, d).collect()
+    fields = [r.field_name for r in rows]
+    assert {f: fields.count(f) for f in fields} == {"name": 5, "address": 4, "phone": 3, "tax_id": 3, "cms_plan_id": 2} and len({r.strategy_id for r in rows}) == 17
+    assert {r.strategy_id: r.times_selected for r in rows if r.times_selected} == tried
+    assert all((r.times_won, r.avg_score_when_won, r.true_positives, r.precision_score) == (0, None, 0, None) for r in rows if r.strategy_id in ("ADDR_ZIP", "PHONE_AC", "TIN_PFX"))
+
+
 def test_field_compare_has_all_fields(spark):
     d = "/root/testdata/sf0.001"
     m = mastering(spark, d)
