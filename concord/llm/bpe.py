@@ -25,14 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from concord.llm import workers
 from concord.llm.common import table
 
 #: Pieces a worker remembers; when full, the memory is emptied.
 CACHE_PIECES = 200_000
 
-_codecs: dict[str, Codec] = {}
-
-
 def byte_table() -> list[str]:
     """The printable character that stands for each byte: printable Latin-1 bytes stand for themselves."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -126,22 +124,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """This worker's codec for ``path``."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
-
-
-def _blocks(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of about ``size`` characters together."""
-    block, n = [], 0
-    for t in texts:
-        block.append(t)
-        n += len(t)
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+    return workers.state(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -150,7 +133,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = codec(path)
-            ids = [x for block in _blocks([t.as_py() or "" for t in b.column(b.schema.get_field_index(text))]) for x in c.encode(block)]
+            ids = [x for _, block in workers.blocks(b.column(b.schema.get_field_index(text))) for x in c.encode([t.decode() for t in block])]
             col = pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, "ids"])
 
@@ -168,8 +151,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             c = codec(path)
             n, ids_sha, text_sha = [], [], []
-            for block in _blocks([t.as_py() or "" for t in b.column("text")]):
-                for ids in c.encode(block):
+            for _, block in workers.blocks(b.column("text")):
+                for ids in c.encode([t.decode() for t in block]):
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm import workers
 from concord.llm.common import discard, join_groups, scratch, table, written
 from concord.llm.exact_dedup import MAX_BITS
 
@@ -53,12 +54,13 @@ CHUNK = 256
 BLOCK = 500_000
 
 
-def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    from concord.llm.words import blocks, shingle_sets
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text, a block at a time."""
+    from concord.llm.words import shingle_sets
 
-    data = [(t or "").encode() for t in texts]
-    for first, end in blocks(data):
-        yield from shingle_sets(data[first:end])
+    workers.state(("jaccard",), lambda: None)
+    for _, block in workers.blocks(texts):
+        yield from shingle_sets(block)
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -67,7 +69,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, tokens = [], [], []
-            for s in _sets(b.column("text").to_pylist()):
+            for s in _sets(b.column("text")):
                 size = len(s)
                 first = size - (percent * size + 99) // 100 + 1
                 n.append(size)
@@ -87,7 +89,7 @@ def postings(texts: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, s in zip(b.column("doc").to_pylist(), _sets(b.column("text").to_pylist()), strict=True):
+            for doc, s in zip(b.column("doc").to_pylist(), _sets(b.column("text")), strict=True):
                 size = len(s)
                 same = [pa.array(np.full(size, v, np.int64)) for v in (doc, size)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(size, dtype=np.int32)), pa.array((s >> np.uint64(16)).view(np.int64))], ["doc", "n", "pos", "tok"])
@@ -203,7 +205,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out: list[list] = [[], [], []]
-            for x, y, s in zip(a, b, _sets(batch.column("text").to_pylist()), strict=True):
+            for x, y, s in zip(a, b, _sets(batch.column("text")), strict=True):
                 if y is None:
                     head, own = x, s
                 elif x != head:
@@ -315,7 +317,7 @@ def _dense(posts: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
         for batch in batches:
             k = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc", "comp")), strict=True))
             found: list[list[int]] = [[], []]
-            for (*key, side, doc, comp), s in zip(k, _sets(batch.column("text").to_pylist()), strict=True):
+            for (*key, side, doc, comp), s in zip(k, _sets(batch.column("text")), strict=True):
                 if key != now:
                     now, own, index, root = key, [], None, {}
                 if side == 0:

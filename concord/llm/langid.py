@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm import workers
 from concord.llm.common import table
 
 WINDOW = 256
@@ -172,18 +173,14 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from concord.llm.words import blocks
-
-        net = shared.value
+        net = workers.state(("langid",), lambda: None) or shared.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            known = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            data = [texts[i].encode() for i in known]
-            for first, end in blocks(data):
-                p = net.predict(data[first:end])
-                for i, k, v in zip(known[first:end], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    lang[i], score[i] = net.langs[k], min(1.0, max(0.0, v))
+            lang, score = ["und"] * len(b), [0.0] * len(b)
+            for first, texts in workers.blocks(b.column(at)):
+                known = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t.decode())]
+                p = net.predict([texts[i] for i in known]) if known else np.zeros((0, 1))
+                for i, k, v in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+                    lang[first + i], score[first + i] = net.langs[k], min(1.0, max(0.0, v))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

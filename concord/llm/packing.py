@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from concord.llm import workers
 from concord.llm.common import table, written
 
 CAPACITY = 2048
@@ -41,9 +42,6 @@ END = np.array([0], "<u4").tobytes()
 #: Rows that one chunk of the ranking holds, about.
 CHUNK_ROWS = 20_000
 
-_words: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space: each run between white space is encoded once."""
 
@@ -110,24 +108,20 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for ``path``."""
-    if path not in _words:
-        _words[path] = WordEncoder(path)
-    return _words[path]
+    return workers.state(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every row of ``docs`` (doc_id, text)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from concord.llm.bpe import _blocks
-
         e = encoder(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             done = 0
             ids_of = b.column("doc_id").to_pylist()
-            for block in _blocks([t.as_py() or "" for t in b.column("text")]):
-                for ids in e.encode(block):
+            for _, block in workers.blocks(b.column("text")):
+                for ids in e.encode([t.decode() for t in block]):
                     ids += END
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]

@@ -24,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from concord.llm import workers
 from concord.llm.common import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -60,24 +61,22 @@ _LENGTHS = {
     for c in cs.split()
 }
 
-_automaton = None
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for c in "0123456789":
+        a.add_word(c, (0, 1))
+    a.add_word("@", (1, 1))
+    a.add_word("+", (2, 1))
+    for s in SCHEMES:
+        a.add_word(s, (3, len(s)))
+    for s in CUES:
+        a.add_word(s, (4, len(s)))
+    a.make_automaton()
+    return a
 
 
 def _anchors() -> ahocorasick.Automaton:
-    global _automaton
-    if _automaton is None:
-        a = ahocorasick.Automaton()
-        for c in "0123456789":
-            a.add_word(c, (0, 1))
-        a.add_word("@", (1, 1))
-        a.add_word("+", (2, 1))
-        for s in SCHEMES:
-            a.add_word(s, (3, len(s)))
-        for s in CUES:
-            a.add_word(s, (4, len(s)))
-        a.make_automaton()
-        _automaton = a
-    return _automaton
+    return workers.state(("pii",), _automaton)
 
 
 def luhn(digits: str) -> bool:

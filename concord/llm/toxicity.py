@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm import workers
 from concord.llm.common import table
 from concord.llm.words import blocks, words
 
@@ -264,13 +265,11 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         return [{k: x[k] for k in ("start", "end", "score")} for x in found]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
+        field = workers.state(("toxicity",), lambda: None) or shared.value
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             values: list[float] = []
             found: list[list[dict]] = []
-            for first, end in blocks(texts):
-                block = texts[first:end]
+            for _, block in workers.blocks(b.column(at)):
                 features, start, stop, counts = tokens(block)
                 p = field.marginals(features, counts)
                 values += field.scores(p, counts).tolist()
