@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from concord.llm import workers
 from concord.llm.common import discard, join_groups, scratch, table, written
-from concord.llm.exact_dedup import MAX_BITS
 
 PERCENT = 75
 HEAVY = 48
@@ -51,6 +50,8 @@ ROUNDS = 3
 RESERVE = 8
 #: Partners that are compared with one document in one chunk, and shingles that a block holds, about.
 CHUNK = 256
+#: Bits of the table that tells which texts a step needs.
+MAX_BITS = 1 << 26
 BLOCK = 500_000
 
 

@@ -87,10 +87,23 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.assign(none).count() == 0 and exact_dedup.keep_distinct(none).count() == 0
 
 
-def test_bloom_lets_single_rows_pass(spark):
-    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.least("id", F.lit(1500)).cast("string")).alias("text"))
-    rows = exact_dedup.flag_repeats(exact_dedup._hashed(docs), 2000)
-    assert rows.where("maybe and doc_id < 1500").count() < 100 and rows.where("not maybe and doc_id >= 1500").count() == 0
+@pytest.mark.parametrize("max_bits", [exact_dedup.MAX_BITS, 8192])
+def test_bloom_lets_single_rows_pass(spark, max_bits):
+    """The same filter, whole and in slices of two blocks."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.least("id", F.lit(3500)).cast("string")).alias("text"))
+    assert exact_dedup.layout(4000, max_bits)[0] == (1 if max_bits > 8192 else 8)
+    hashed = docs.select("doc_id", exact_dedup._digest())
+    rows = exact_dedup.flag_repeats(hashed, hashed, 4000, max_bits)
+    assert rows.count() == 4000 and rows.where("maybe and doc_id < 3500").count() < 160 and rows.where("not maybe and doc_id >= 3500").count() == 0
+    assert {tuple(r) for r in exact_dedup.assign(docs, max_bits).select("doc_id", "keep_id", "group_size").collect()} == {(i, i, 1) if i < 3500 else (i, 3999, 500) for i in range(4000)}
+    assert sorted(r.doc_id for r in exact_dedup.keep_distinct(docs, max_bits).collect()) == [*range(3500), 3999]
+
+
+def test_exact_dedup_keeps_columns_of_any_name(odd):
+    names = ["a.b", "_row", "maybe", "text_sha256", "_block", "keep_id", "group_size"]
+    docs = odd.withColumns({n: F.lit(i) for i, n in enumerate(names)}).withColumnRenamed("a.b", "a.b`c")
+    kept = exact_dedup.keep_distinct(docs)
+    assert kept.columns == docs.columns and all(r["maybe"] == 2 and r["_row"] == 1 and r["group_size"] == 6 for r in kept.collect())
 
 
 def test_join_groups_with_a_hot_group(spark):
