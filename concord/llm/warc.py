@@ -9,7 +9,10 @@ Groups of equal payloads are found from digests alone and joined back in a skew-
 the shared folder under names unique to the task attempt, and only those named by the written manifest
 are read, so a lost executor or a repeated task leaves no record twice.
 
-Nulls and edges: null html is an empty payload and null url an empty target; payloads below ``min_bytes``
+Reading back, digest and length of every response are computed again from its payload, and a difference is
+an error.
+
+Nulls and edges: white space and control characters in a URL are percent-encoded; null html is an empty payload and null url an empty target; payloads below ``min_bytes``
 are all responses; repeated page_ids with equal payloads are one response each; an empty table writes no
 archive and reads back no row.
 """
@@ -17,9 +20,12 @@ archive and reads back no row.
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -34,9 +40,12 @@ DICTIONARY_BYTES = 32 << 10
 #: Records and bytes of each that an archive's dictionary is built from.
 SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 4 << 10
+#: Bytes of records that a task holds before it writes them; a larger record is held alone.
+HELD_BYTES = 16 << 20
 #: A new archive begins after so many bytes.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
+_SPACE = re.compile(r"[\s\x00-\x1f]")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -48,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One uncompressed WARC record."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    target = "".join((url or "").split())
+    target = _SPACE.sub(lambda m: quote(m[0]), url or "")
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", record_id(page_id)),
@@ -75,6 +84,14 @@ def parse(data: bytes) -> dict:
     return fields
 
 
+def check(fields: dict) -> None:
+    """Fails on a response whose payload is not the one that its digest and length are of."""
+    if fields["WARC-Type"] == "response":
+        told = "sha1:" + base64.b32encode(hashlib.sha1(fields["payload"]).digest()).decode()
+        if told != fields["WARC-Payload-Digest"] or len(fields["payload"]) != fields["payload_bytes"]:
+            raise ValueError(f"a damaged payload in {fields['WARC-Record-ID']}")
+
+
 def dictionary(records: list[bytes]) -> bytes:
     """A dictionary of a sample of ``records``; raw content where they are too few or too small to train on."""
     some = [r[:SAMPLE_BYTES] for r in records[:SAMPLE_RECORDS]]
@@ -130,7 +147,7 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     key = F.concat_ws(":", "_sha1", F.col("_bytes").cast("string"))
     groups = rows.select(key.alias("_key"), "page_id").groupBy("_key").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     keyed = rows.withColumn("_key", key)
-    # only members of groups are joined; digests are narrow, so the pages themselves are not moved for it
+    # which pages are revisits is found from digests alone; the pages then move once, to meet it
     refs = join_groups(keyed.select("_key", "page_id"), groups, "_key", "_size", n).where("page_id < _first").select("page_id", "_key", "_first").distinct()
     found = keyed.join(refs, ["page_id", "_key"], "left")
     return found.select("page_id", "url", "payload", F.col("_sha1").alias("digest"), F.when(F.col("_bytes") >= min_bytes, F.col("_first")).alias("refers_to"))
@@ -147,6 +164,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         told: list[tuple[str, int, int]] = []
         name, n, size = "", 0, 0
         waiting: list[bytes] = []
+        held = 0
 
         def begin() -> None:
             nonlocal out, packer, name, n, size
@@ -175,8 +193,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             for page_id, url, payload, digest, ref in zip(*(b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 told_digest = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
                 waiting.append(record(page_id.as_py(), url.as_py(), payload.as_py(), told_digest, ref.as_py()))
-                if len(waiting) >= SAMPLE_RECORDS:
+                held += len(waiting[-1])
+                if len(waiting) >= SAMPLE_RECORDS or held >= HELD_BYTES:
                     flush(False)
+                    held = 0
         flush(True)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in told], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
@@ -200,6 +220,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     for data in frames(stream):
                         f = parse(data)
                         kind = f["WARC-Type"]
+                        check(f)
                         rows.append((number(f["X-Page"]), f["WARC-Target-URI"], f["payload_bytes"], f["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(f.get("X-Refers-To-Page")), f["payload"] if kind == "response" else None))
                         size += len(data)
                         if size >= 4 << 20:
