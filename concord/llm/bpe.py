@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import workers
-from concord.llm.common import table
+from concord.llm.common import mapped, table
 
 #: Pieces a worker remembers; when full, the memory is emptied.
 CACHE_PIECES = 200_000
@@ -65,9 +66,12 @@ class Codec:
             [pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         size = max(ranks.values()) + 1
-        self.tokens = [b""] * size
+        self.tokens = [""] * size
         for t, r in ranks.items():
-            self.tokens[r] = t
+            self.tokens[r] = named[t]
+        # the byte table reversed: what each character of a token stands for
+        back = {c: b for b, c in enumerate(chars)}
+        self.tokens = [bytes(back[c] for c in t) for t in self.tokens]
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -85,7 +89,7 @@ class Codec:
             p = t.split(" ")
             p = [p[0], *[" " + x for x in p[1:]]]
             pieces.append(p)
-        new = set().union(*pieces) - self.cache.keys()
+        new = {x for x in set().union(*pieces) if x not in self.cache}
         # irregular: empty, or with white space at a cut
         odd = {x for x in new if x in ("", " ") or x[-1].isspace() or x[:1] != " " and x[0].isspace() or x[0] == " " and x[1].isspace()}
         fresh = list(new - odd)
@@ -111,15 +115,14 @@ class Codec:
         at = np.arange(ends[-1]) + np.repeat(self.starts[x] - (ends - n), n)
         return self.flat[at].tobytes()
 
-    def offsets(self, ids: bytes) -> list[tuple[int, int]]:
-        """(start, end) of each token in characters of the decoded text."""
+    def offsets(self, ids: bytes, data: bytes | None = None) -> np.ndarray:
+        """(start, end) of each token in characters of the decoded text, ``data``."""
         x = np.frombuffer(ids, "<u4")
-        data = np.frombuffer(self.decode(ids), np.uint8)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        text = np.frombuffer(self.decode(ids) if data is None else data, np.uint8)
+        lead = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
         ends = np.cumsum(self.lengths[x])
-        starts = ends - self.lengths[x]
-        first = lead[np.minimum(starts + 1, len(data))] - 1
-        return list(zip(first.tolist(), lead[ends].tolist(), strict=True))
+        first = lead[np.minimum(ends - self.lengths[x] + 1, len(text))] - 1
+        return np.stack([first, lead[ends]], 1)
 
 
 def codec(path: str) -> Codec:
@@ -128,18 +131,18 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<bigint>) of ``text``; other columns stay."""
+    """``docs`` with ``ids`` (array<bigint>) of ``text``; other columns stay, an ``ids`` of theirs is replaced."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = docs.drop("ids")
+    at = kept.columns.index(text)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for b in batches:
             c = codec(path)
-            ids = [x for _, block in workers.blocks(b.column(b.schema.get_field_index(text))) for x in c.encode([t.decode() for t in block])]
-            col = pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, "ids"])
+            ids = [x for _, block in workers.blocks(b.column(at)) for x in c.encode([t.decode() for t in block])]
+            yield [*b.columns, pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))]
 
-    kept = docs.drop("ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(part, f"{schema}, ids array<bigint>")
+    return mapped(kept, part, {"ids": "array<bigint>"})
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +153,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = codec(path)
-            n, ids_sha, text_sha = [], [], []
-            for _, block in workers.blocks(b.column("text")):
+            n, ids_sha, text_sha, places = [], [], [], []
+            for _, block in workers.blocks(b.column("text"), 2 * workers.BLOCK_BYTES):
                 for ids in c.encode([t.decode() for t in block]):
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    data = c.decode(ids)
+                    text_sha.append(hashlib.sha256(data).hexdigest())
+                    places.append(zlib.crc32(c.offsets(ids, data).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(places, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(part, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(part, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_crc32 bigint")
