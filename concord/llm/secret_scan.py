@@ -133,8 +133,9 @@ def link(parts: DataFrame, key: str, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, base, linked (both array<struct<start, end, kind>>): one row per row of ``docs`` (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.xxhash64(text).alias("_text"), base_spans(text).alias("base"), weak_spans(text).alias("weak"))
-    found = written(found, "spans").withColumn("_key", F.xxhash64("doc_id", "_text"))
+    # what tells documents apart is a full digest of doc_id and text: of billions, none share it
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"), 256)
+    found = written(docs.select("doc_id", key.alias("_key"), base_spans(text).alias("base"), weak_spans(text).alias("weak")), "spans")
     some = found.where((F.size("weak") > 0) & (F.size(F.concat("base", "weak")) > 1)).dropDuplicates(["_key"])
     parts = some.select("_key", F.explode(F.concat("base", "weak")).alias("p")).select("_key", "p.*")
     linked = link(parts, "_key", scope).groupBy("_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
