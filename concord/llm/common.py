@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, or under that of the ``scope``."""
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written to scratch paths inside is removed at the end: only for results that were written elsewhere."""
+    folder = scratch(spark, name)
+    held = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(held)
+        discard(spark, folder)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -61,6 +80,23 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def mapped(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: dict[str, str]) -> DataFrame:
+    """``df`` through ``part``, which gives for each batch all its columns and those ``added`` (name: type), in order.
+
+    On the way the columns have plain names, as ``mapInArrow`` takes no names with dots.
+    """
+    own = [f"c{i}" for i in range(len(df.columns))]
+    names = [*own, *(f"a{i}" for i in range(len(added)))]
+    kinds = [*(f.dataType.simpleString() for f in df.schema), *added.values()]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in part(rows):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = df.toDF(*own).mapInArrow(batches, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return out.toDF(*df.columns, *added)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

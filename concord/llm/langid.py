@@ -11,7 +11,8 @@ positions get gradients. The model is small (about 1 MB) and is broadcast.
 
 Nulls and edges: null text, or text without a letter, is ``und`` with score 0; rows without a language are
 not learned from; without any labelled row every text is ``und``. White space and digits are one byte
-class each; equal texts get equal predictions.
+class each; equal texts get equal predictions; of languages that are as likely the first by name is taken; rows that
+repeat a doc_id are rows like others, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import workers
-from concord.llm.common import table
+from concord.llm.common import mapped, table
 
 WINDOW = 256
 SAMPLE = 3000
@@ -148,7 +149,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     cuts = [F.substring("text", F.greatest(F.lit(1), (n - WINDOW) * k / max(1, PER_DOC - 1) + 1).cast("int"), F.lit(WINDOW)) for k in range(PER_DOC)]
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     few = known.where(n > 0).select("h", "lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
-    least = lambda rows: rows.orderBy("h", "lang").limit(sample).collect()
+    least = lambda rows: rows.orderBy("h", "lang", "cuts").limit(sample).collect()
     # the hashes are even, so nearly always the smallest ones lie in a share of twice the sample: tasks then send that share
     # alone, however many tasks there are
     share = 2 * sample / max(1, known.count())
@@ -166,13 +167,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     return net
 
 
-def identify(docs: DataFrame, net: Net | None) -> DataFrame:
-    """``docs`` with lang_pred and lang_score; all rows and other columns stay."""
-    docs = docs.drop("lang_pred", "lang_score")
+def identify(docs: DataFrame, net: Net | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score under ``names``, which replace columns of these names; all rows and other columns stay."""
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         net = workers.state(("langid",), lambda: None) or shared.value
         for b in batches:
             lang, score = ["und"] * len(b), [0.0] * len(b)
@@ -181,10 +182,9 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
                 p = net.predict([texts[i] for i in known]) if known else np.zeros((0, 1))
                 for i, k, v in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                     lang[first + i], score[first + i] = net.langs[k], min(1.0, max(0.0, v))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
+            yield [*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(part, f"{schema}, lang_pred string, lang_score double")
+    return mapped(docs, part, {names[0]: "string", names[1]: "double"})
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import workers
-from concord.llm.common import table
+from concord.llm.common import mapped, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -235,12 +235,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the personal data of ``text`` replaced; all columns and rows stay."""
     at = docs.columns.index("text")
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for b in batches:
             new = pa.array([redact(t.as_py()) for t in b.column(at)], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+            yield [new if i == at else c for i, c in enumerate(b.columns)]
 
-    return docs.mapInArrow(part, docs.schema)
+    return mapped(docs, part, {})
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,13 @@ Marginals come from forward-backward over the whole text. Texts are laid out in
 tokens with ``HALO`` tokens on either side, all windows of a batch in step: the chain forgets its past
 geometrically, so the halo stands for the rest of the text.
 
-Training takes at most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id; the fitted
+Training takes at most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id, and of texts of
+more than ``TRAIN_CHARS`` four parts; the fitted
 model is a few thousand numbers and is broadcast.
 
 Nulls and edges: null text is empty; a text without tokens gets the score of zero marginals; rows with a
-null label are not learned from; without labels of both kinds every score is 0.
+null label are not learned from; without labels of both kinds every score is 0; a doc_id with several labels
+or texts is learned from once for each pair; equal texts get equal scores; texts are scored whole, however long.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import workers
-from concord.llm.common import table
+from concord.llm.common import mapped, table
 from concord.llm.words import blocks, words
 
 SAMPLE = 6000
+#: Characters of a text that training takes.
+TRAIN_CHARS = 40_000
 WINDOW, HALO = 128, 48
 PREFIXES = (4, 5)
 _SEPARATOR = np.ones(256, bool)
@@ -239,15 +243,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field learned from at most ``sample`` labelled documents that are not held out."""
     some = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is bounded, so it is the side that is broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    text, n, parts = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))), TRAIN_CHARS // 4
+    # of longer texts four parts, spread over the whole, so that the driver holds SAMPLE x TRAIN_CHARS at most
+    cuts = F.concat_ws(" ", *[F.substring(text, ((n - parts) * k / 3 + 1).cast("int"), F.lit(parts)) for k in range(4)])
+    texts = docs.select("doc_id", F.when(n > TRAIN_CHARS, cuts).otherwise(text).alias("text"))
+    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "toxic", "text").limit(sample).collect()
     field = Field()
     field.fit([r["text"].encode() for r in rows], np.array([int(r["toxic"] == 1) for r in rows]))
     return field
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with toxic_score and toxic_spans (array<struct<start, end, score>>, code points); rows and columns stay."""
+    """``docs`` with toxic_score and toxic_spans (array<struct<start, end, score>>; code points), which replace columns of these names; rows and other columns stay."""
     docs = docs.drop("toxic_score", "toxic_spans")
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -264,7 +271,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                 found.append({"start": s, "end": e, "score": v, "last": t})
         return [{k: x[k] for k in ("start", "end", "score")} for x in found]
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         field = workers.state(("toxicity",), lambda: None) or shared.value
         for b in batches:
             values: list[float] = []
@@ -278,10 +285,9 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                     own = slice(token, token + n)
                     found.append(spans(t, base, p[own], start[own], stop[own]) if n and p[own].max() >= 0.5 else [])
                     base, token = base + len(t) + 1, token + n
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64()), pa.array(found, kind)], [*b.schema.names, "toxic_score", "toxic_spans"])
+            yield [*b.columns, pa.array(values, pa.float64()), pa.array(found, kind)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(part, f"{schema}, toxic_score double, toxic_spans array<struct<start:bigint,end:bigint,score:double>>")
+    return mapped(docs, part, {"toxic_score": "double", "toxic_spans": "array<struct<start:bigint,end:bigint,score:double>>"})
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
