@@ -26,7 +26,8 @@ gathered in one task.
 Shingle sets are compared as sets of 64-bit hashes of the words themselves. Nulls and edges: a text with
 fewer words than five has its whole sequence as its only shingle; null text and text without words has
 no shingle and links with nothing (its component is itself); rows with a null doc_id get a null
-component; an empty table gives an empty result.
+component; rows that repeat a doc_id are one document, which links as any of its texts does; ties between
+documents go to the smaller doc_id; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import workers
-from concord.llm.common import discard, join_groups, scratch, table, written
+from concord.llm.common import discard, fresh, join_groups, scope, scratch, table, written
 
 PERCENT = 75
 HEAVY = 48
@@ -154,7 +155,8 @@ def _index(posts: DataFrame, percent: int, whole: bool) -> DataFrame:
     """The prefixes over ``posts`` (tok, doc, n, pos), written."""
     posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
     counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-    shared = posts.join(counts, "tok")
+    # tokens of passages that very many documents share are joined by broadcast, so that none lies in one task
+    shared = join_groups(posts, counts, "tok", "df", posts.count())
     per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
     return written(prefixes(per_doc, percent, whole), "prefixes")
 
@@ -365,7 +367,13 @@ class _Block:
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text). Written; what led to it is removed."""
+    path = scratch(docs.sparkSession, "components")
+    with scope(docs.sparkSession, "jaccard"):
+        return written(_linked(docs, percent), "components", path)
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
     total, spark = docs.count(), docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     path = scratch(spark, "signatures")
@@ -401,9 +409,13 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest doc_id; rows that link with nothing stay."""
-    away = link_components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(away, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with the document of smallest doc_id of each component; documents that link with nothing stay.
+
+    A doc_id names a document, so rows that repeat one stay or go together; null doc_ids stay. Columns may have any name.
+    """
+    gone = fresh(docs.columns, "_gone")
+    away = link_components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(away, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
