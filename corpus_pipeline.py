@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Nulls and edges: rows without a text, or with no letter in it, are in no language and go; of equal texts the row
+with the largest doc_id stays, of near copies the document with the smallest, so there are no ties but between
+rows of one doc_id, of which the exact stage keeps one text each; null doc_ids stay and are packed; texts are
+worked on whole, however long; other columns pass through under any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import exact_dedup, jaccard, langid, packing, pii
-from concord.llm.common import written
+from concord.llm.common import fresh, quoted, written
 
 #: Documents whose best language is less likely than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.4
@@ -19,9 +24,10 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no recognisable language and sets ``lang`` to the predicted one."""
-    found = langid.identify(docs, langid.train(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
+    found = langid.identify(docs, langid.train(docs), (lang, score))
+    kept = found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(lang)).select(quoted(docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind, and n_chars by the new length."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(quoted(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
