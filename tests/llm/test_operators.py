@@ -176,16 +176,42 @@ def test_packing(odd, none):
     assert max(seqs.values()) <= 2048 and packing.pack(none, path).count() == 0
 
 
-def test_sweep_is_best_fit_and_complete():
-    counts = {2048: 2, 1500: 3, 1000: 5, 548: 4, 10: 1000, 1: 7}
-    placed, used = Counter(), Counter()
-    for length, _, n, first, offset in packing.sweep(counts):
-        placed[length] += n
-        for q in range(first, first + n):
-            assert used[q] == offset
-            used[q] += length
-    assert placed == counts and max(used.values()) <= 2048
-    assert len(used) <= -(-sum(k * v for k, v in counts.items()) // 2048) + 1
+def best_fit(counts, capacity=2048):
+    """Sequences that best fit, longest first, opens."""
+    gaps, opened = Counter(), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = min((g for g in gaps if g >= length), default=None)
+            if gap is None:
+                gap, opened = capacity, opened + 1
+            else:
+                gaps[gap] -= 1
+                if not gaps[gap]:
+                    del gaps[gap]
+            if gap > length:
+                gaps[gap - length] += 1
+    return opened
+
+
+@pytest.mark.parametrize(
+    ("counts", "capacity"),
+    [
+        ({2048: 2, 1500: 3, 1000: 5, 548: 4, 10: 1000, 1: 7}, 2048), ({700: 5000}, 2048), ({2048: 3}, 2048), ({1: 9000}, 2048), ({}, 2048), ({5: 3, 3: 4, 2: 9, 1: 1}, 5), ({1: 4}, 1),
+        ({n: 1 + n * 7919 % 13 for n in range(60, 900, 7)}, 2048),
+    ],
+)
+def test_supersteps_place_all_pieces_in_as_few_sequences_as_best_fit(spark, counts, capacity):
+    table = spark.createDataFrame(list(counts.items()), "length long, count long")
+    placed, used = {k: [] for k in counts}, {}
+    for r in packing.segments(table, capacity).collect():
+        placed[r.length] += range(r.first, r.first + r["count"])
+        for i in range(r["count"]):
+            used.setdefault(r.sequence + i // r.copies, []).append((r.offset + i % r.copies * r.length, r.length))
+    assert all(sorted(v) == list(range(counts[k])) for k, v in placed.items())
+    for v in used.values():
+        v.sort()
+        assert [at for at, _ in v] == [sum(n for _, n in v[:i]) for i in range(len(v))] and sum(n for _, n in v) <= capacity
+    assert len(used) <= best_fit(counts, capacity) * 1.005 + 1
 
 
 def test_secrets(spark, odd, none):
