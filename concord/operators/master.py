@@ -79,3 +79,19 @@ def tree(links: DataFrame, most: int | None = None) -> DataFrame:
         f"WHERE NOT array_contains(t.path, p.child_master_id){'' if most is None else f' AND t.depth < {int(most)}'}) SELECT root, node, depth FROM t",
         roots=roots, pairs=pairs,
     )
+
+
+def named(links: DataFrame, gold: DataFrame) -> DataFrame:
+    """``links`` with the golden names of both ends."""
+    end = lambda e: gold.select(F.col("master_payor_id").alias(f"{e}_master_id"), F.col("payor_name").alias(f"{e}_name"))
+    return links.join(end("parent"), "parent_master_id", "left").join(end("child"), "child_master_id", "left")
+
+
+def links_of(links: DataFrame, master_id: str) -> DataFrame:
+    """The links that a golden record is an end of."""
+    return links.where((F.col("parent_master_id") == master_id) | (F.col("child_master_id") == master_id))
+
+
+def sources_of(refs: DataFrame, records: DataFrame, master_id: str) -> DataFrame:
+    """The source records behind a golden record."""
+    return refs.where(F.col("master_payor_id") == master_id).select("source_record_id", "match_confidence").join(records, "source_record_id")

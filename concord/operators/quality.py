@@ -43,3 +43,8 @@ def source_share(records: DataFrame) -> DataFrame:
     """Records and their percentage per source system: the counts, a few rows, are summed once more."""
     n = records.groupBy("source_system").agg(F.count(F.lit(1)).alias("records"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("records").alias("total")))).select("source_system", "records", F.round(F.col("records") * 100.0 / F.col("total"), 1).alias("pct"))
+
+
+def summary(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: source systems, records and pairs."""
+    return records.agg(F.countDistinct("source_system").alias("sources"), F.count(F.lit(1)).alias("records")).crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs"))))

@@ -39,9 +39,16 @@ def audit_page(log: DataFrame, page: int = 0, size: int = 20, **equals: str | No
     return rows.limit(size), rows.limit(size + 1).count() > size
 
 
+def recent(log: DataFrame, most: int = 10) -> DataFrame:
+    """The newest rows of the change log."""
+    return log.orderBy(F.desc("changed_at"), "change_id").limit(most)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` in place of those of ``old`` with their key, and the others."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+    """Rows of ``new`` in place of those of ``old`` with their key, null keys alike, and the others; of equal keys in ``new`` one row."""
+    new = new.dropDuplicates([key])
+    gone = new.select(F.col(key).alias("_key"))
+    return new.unionByName(old.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti"))
 
 
 def add_link(parent: str, child: str, kind: str, links: DataFrame) -> DataFrame:
@@ -64,6 +71,11 @@ def search(df: DataFrame, text: str, order: str, page: int = 0, size: int = 20)
     return df.where(hit).orderBy(order).offset(page * size).limit(size)
 
 
-def band(score: str, high: float = 0.8, low: float = 0.5):  # noqa: ANN201
-    c = F.col(score)
+def band(score, high: float = 0.8, low: float = 0.5):  # noqa: ANN001, ANN201
+    c = F.col(score) if isinstance(score, str) else score
     return F.when(c >= high, "green").when(c >= low, "yellow").when(c.isNotNull(), "red")
+
+
+def percent_band(percent: str, high: float = 90.0, low: float = 70.0):  # noqa: ANN201
+    """The colour of a percentage."""
+    return band(F.round(percent, 1), high, low)

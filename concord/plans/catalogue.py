@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from concord.functions.text import expand
 from concord.operators import cluster, master, matching, quality, staging, steward, survivorship
 from concord.plans import oracle
 from concord.plans.oracle import BOTH, cmp, jac, ngr, nrm, sql, trans
-from concord.plans.pipeline import mastering, sample_decisions
+from concord.plans.pipeline import Mastering, mastering, sample_decisions
 from concord.settings import ABBREVIATIONS
-from concord.sources import mess
+from concord.sources import mess, schemas
 
 _STAGED = "source_record_id source_system source_id payor_name payor_name_clean payor_name_alt tax_id npi cms_plan_id address_line_1 address_line_2 city state_code zip_code zip_plus_4 phone website payor_type line_of_business parent_ref is_active effective_date termination_date source_trust_rank".split()
 _KEYS = "source_record_id_a source_record_id_b"
@@ -139,14 +140,10 @@ def _golden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_sources(spark: SparkSession, d: str) -> DataFrame:
-    return mastering(spark, d).golden.select("master_payor_id", F.explode("field_sources").alias("field", "source_record_id")).where("field in ('payor_name', 'phone')")
-
-
-def _field_sources_all(spark: SparkSession, d: str) -> DataFrame:
     return mastering(spark, d).golden.select("master_payor_id", F.explode("field_sources").alias("field", "source_record_id"))
 
 
-def _field_sources_all_sql() -> str:
+def _field_sources_sql() -> str:
     """One part for each rule that takes the value from a record."""
     parts = []
     for f, (rule, _, priority) in survivorship.RULES.items():
@@ -198,11 +195,6 @@ def _config_sql() -> str:
 
 
 def _compare(spark: SparkSession, d: str) -> DataFrame:
-    m = mastering(spark, d)
-    return steward.compare_fields(m.pairs, m.records, ["payor_name", "tax_id", "city"])
-
-
-def _compare_all(spark: SparkSession, d: str) -> DataFrame:
     m = mastering(spark, d)
     return steward.compare_fields(m.pairs, m.records)
 
@@ -246,6 +238,36 @@ def _messy_sql() -> str:
     return f"WITH e AS (SELECT {_PART} FROM part) " + " UNION ALL ".join(parts)
 
 
+_BANDED = "score_name score_tax_id score_address score_phone overall_score".split()
+_PARENT = "(SELECT min(parent_master_id) FROM hier)"
+_AUDIT = """SELECT md5(source_record_id_a || '|' || source_record_id_b || '|' || steward_decision || '|2024-06-01 00:00:00') AS change_id, candidate_id AS entity_id, steward_decision AS action FROM cand_d
+  WHERE steward_decision IS NOT NULL"""
+
+
+def _first_parent(m: Mastering) -> str:
+    """The golden record that the drill-down queries open: of the parents that with the least id."""
+    return m.hierarchy.agg(F.min("parent_master_id")).first()[0] or ""
+
+
+def _audit_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of confirmed matches, and whether there is a third."""
+    rows, more = steward.audit_page(steward.audit_rows(sample_decisions(mastering(spark, d).pairs)), 1, action="confirmed_match")
+    return rows.select("change_id", "entity_id", F.lit(more).alias("more"))
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    """The strategies before any run: a row of zeros each."""
+    rows = spark.createDataFrame([(f, k) for f, ks in matching.STRATEGIES.items() for k in ks], "field_name string, strategy_id string")
+    return rows.withColumns({c: F.lit(0).cast("long") for c in ("times_selected", "times_won")})
+
+
+def _config(spark: SparkSession, d: str) -> DataFrame:
+    """The survivorship configuration, its priorities read from JSON."""
+    rows = spark.createDataFrame([(f, r, json.dumps(p or [])) for f, (r, _, p) in survivorship.RULES.items()], "field_name string, rule_type string, priority string")
+    found = F.from_json("priority", "array<string>")
+    return rows.select("field_name", "rule_type", F.size(found).alias("sources"), F.get(found, F.lit(0)).alias("first_source"))
+
+
 _CELL = "SELECT source_record_id_a, source_record_id_b, '{f}' AS field, nullif(a.{f}, '') AS value_a, nullif(b.{f}, '') AS value_b FROM pairs p JOIN u a ON a.source_record_id = source_record_id_a JOIN u b ON b.source_record_id = source_record_id_b"
 
 _QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -267,9 +289,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "golden": (_golden, sql(f"SELECT {', '.join('round(confidence_score, 4) AS confidence_score' if c == 'confidence_score' else c for c in _GOLD)} FROM gold")),
     "xref": (lambda s, d: mastering(s, d).xref, sql("SELECT source_record_id, master_payor_id, source_system, source_id, match_confidence FROM xr")),
-    "field_sources": (_field_sources, sql("SELECT match_group_id AS master_payor_id, 'payor_name' AS field, first(source_record_id ORDER BY source_trust_rank, source_record_id) FILTER (WHERE payor_name IS NOT NULL) AS source_record_id FROM u JOIN grp USING (source_record_id) GROUP BY 1 HAVING count(payor_name) > 0 UNION ALL SELECT match_group_id, 'phone', first(source_record_id ORDER BY loaded_at DESC NULLS LAST, source_record_id) FILTER (WHERE phone IS NOT NULL) FROM u JOIN grp USING (source_record_id) GROUP BY 1 HAVING count(phone) > 0")),
-    # all fields with a source; the query above returns what its SQL covers
-    "field_sources_all": (_field_sources_all, _field_sources_all_sql()),
+    "field_sources": (_field_sources, _field_sources_sql()),
     "tax_conflicts": (lambda s, d: survivorship.tax_conflicts((m := mastering(s, d)).records, m.groups), sql("SELECT match_group_id AS entity_id, 'conflict_detected' AS action, 'tax_id' AS field_name, array_to_string(list_sort(list(DISTINCT tax_id)), ',') AS new_value FROM u JOIN grp USING (source_record_id) WHERE tax_id <> '' GROUP BY 1 HAVING count(DISTINCT tax_id) > 1")),
     **{f"survivorship_rule_{k}": (_rule(k), _rule_sql(k)) for k in survivorship.KINDS},
     "hierarchy_inferred": (lambda s, d: mastering(s, d).hierarchy, sql("SELECT * FROM hier")),
@@ -281,17 +301,27 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "completeness_by_source": (lambda s, d: quality.completeness(mastering(s, d).records, _FIELDS), sql("SELECT source_system, count(*) AS records, " + ", ".join(f"round(sum(CASE WHEN {f} IS NOT NULL AND {f} <> '' THEN 1 ELSE 0 END) * 100.0 / count(*), 1) AS pct_{f}" for f in _FIELDS) + " FROM u GROUP BY 1")),
     "match_rate_by_pair": (lambda s, d: matching.match_rate(matching.decide(mastering(s, d).scored)), sql("SELECT split_part(source_record_id_a, ':', 1) AS system_a, split_part(source_record_id_b, ':', 1) AS system_b, count(*) AS pairs, count(*) FILTER (WHERE final_decision = 'match') AS matches, round(avg(CASE WHEN final_decision = 'match' THEN 1.0 ELSE 0.0 END) * 100, 1) AS rate FROM cand GROUP BY 1, 2")),
     "golden_list": (lambda s, d: steward.golden_list((m := mastering(s, d)).golden.select("master_payor_id", "payor_name"), m.xref), sql("SELECT master_payor_id, payor_name, (SELECT count(*) FROM xr WHERE xr.master_payor_id = gold.master_payor_id) AS records FROM gold")),
-    "field_compare": (_compare, sql("SELECT *, CASE WHEN value_a IS NULL AND value_b IS NULL THEN 'neutral' WHEN value_a IS NULL OR value_b IS NULL THEN 'red' WHEN value_a = value_b THEN 'green' WHEN lower(left(value_a, 3)) = lower(left(value_b, 3)) THEN 'yellow' ELSE 'red' END AS colour FROM (" + " UNION ALL ".join(_CELL.format(f=f) for f in ("payor_name", "tax_id", "city")) + ")")),
-    # all fields that stewards see; the query above returns what its SQL covers
-    "field_compare_all": (_compare_all, sql("SELECT *, CASE WHEN value_a IS NULL AND value_b IS NULL THEN 'neutral' WHEN value_a IS NULL OR value_b IS NULL THEN 'red' WHEN value_a = value_b THEN 'green' WHEN lower(left(value_a, 3)) = lower(left(value_b, 3)) THEN 'yellow' ELSE 'red' END AS colour FROM (" + " UNION ALL ".join(_CELL.format(f=f) for f in steward.COMPARED) + ")")),
+    "field_compare": (_compare, sql("SELECT *, CASE WHEN value_a IS NULL AND value_b IS NULL THEN 'neutral' WHEN value_a IS NULL OR value_b IS NULL THEN 'red' WHEN value_a = value_b THEN 'green' WHEN lower(left(value_a, 3)) = lower(left(value_b, 3)) THEN 'yellow' ELSE 'red' END AS colour FROM (" + " UNION ALL ".join(_CELL.format(f=f) for f in steward.COMPARED) + ")")),
     "audit_log": (lambda s, d: steward.audit_rows(sample_decisions(mastering(s, d).pairs)).select("entity_id", "entity_type", "action", "changed_by"), sql("SELECT candidate_id AS entity_id, 'match_candidate' AS entity_type, steward_decision AS action, 'steward' AS changed_by FROM cand_d WHERE steward_decision IS NOT NULL")),
     "dq_checks": (_dq, sql("SELECT 'not_null_tax' AS \"check\", count(*) AS failing FROM u WHERE tax_id IS NULL UNION ALL SELECT 'unique_record', count(*) FROM (SELECT source_record_id FROM u GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unique_tax', count(*) FROM (SELECT tax_id FROM u WHERE tax_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'accepted_decision', 0 UNION ALL SELECT 'accepted_rule', count(*) FROM cand WHERE match_rule NOT IN ('DET-1', 'DET-2') UNION ALL SELECT 'fk_xref_golden', 0 UNION ALL SELECT 'orphans', 0")),
-    "strategy_performance": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)).where(F.col("strategy_id").startswith("NAME") & (F.col("times_won") > 0)).select("strategy_id", "times_won", "avg_score_when_won", "true_positives", "true_negatives"), sql("SELECT winning_name_strategy AS strategy_id, count(*) AS times_won, round(avg(overall_score), 4) AS avg_score_when_won, count(*) FILTER (WHERE final_decision = 'match' AND steward_decision = 'confirmed_match') AS true_positives, count(*) FILTER (WHERE final_decision = 'no_match' AND steward_decision = 'confirmed_no_match') AS true_negatives FROM cand_d GROUP BY 1")),
-    # all strategies and columns; the query above returns what its SQL covers
-    "strategy_performance_all": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)), None),
+    "strategy_performance": (lambda s, d: matching.strategy_performance(matching.decide((m := mastering(s, d, decisions=True)).scored, m.log)), None),
     "messy_feeds": (_messy, _messy_sql()),
     "config_upsert": (_config_upsert, _config_sql()),
     "name_expansion": (lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", expand(F.concat(F.lit("bcbs of "), "n_name")).alias("expanded")), "SELECT n_nationkey, 'BLUE CROSS BLUE SHIELD OF ' || upper(n_name) AS expanded FROM nation"),
+    "hierarchy_named": (lambda s, d: master.named((m := mastering(s, d)).hierarchy, m.golden).select("parent_master_id", "child_master_id", "inference_method", "parent_name", "child_name"), sql("SELECT hier.*, p.payor_name AS parent_name, c.payor_name AS child_name FROM hier JOIN gold p ON p.master_payor_id = parent_master_id JOIN gold c ON c.master_payor_id = child_master_id")),
+    "links_of_golden": (lambda s, d: master.links_of((m := mastering(s, d)).hierarchy, _first_parent(m)), sql(f"SELECT hier.* FROM hier WHERE {_PARENT} IN (parent_master_id, child_master_id)")),
+    "sources_of_golden": (lambda s, d: master.sources_of((m := mastering(s, d)).xref, m.records, _first_parent(m)).select("source_record_id", "source_system", "payor_name", "tax_id"), sql(f"SELECT source_record_id, u.source_system, payor_name, tax_id FROM xr JOIN u USING (source_record_id) WHERE master_payor_id = {_PARENT}")),
+    "recent_activity": (lambda s, d: steward.recent(steward.audit_rows(sample_decisions(mastering(s, d).pairs))).select("change_id", "entity_id", "action"), sql(f"SELECT change_id, entity_id, action FROM ({_AUDIT}) ORDER BY change_id LIMIT 10")),
+    "audit_page": (_audit_page, sql(f"SELECT change_id, entity_id, (SELECT count(*) > 40 FROM ({_AUDIT}) WHERE action = 'confirmed_match') AS more FROM ({_AUDIT}) WHERE action = 'confirmed_match' ORDER BY change_id LIMIT 20 OFFSET 20")),
+    "golden_search": (lambda s, d: steward.search(mastering(s, d).golden.select("master_payor_id", "payor_name", "city"), "group of", "master_payor_id"), sql("SELECT master_payor_id, payor_name, city FROM gold WHERE contains(lower(concat_ws(' ', master_payor_id, payor_name, city)), 'group of') ORDER BY master_payor_id LIMIT 20")),
+    "score_histogram_clamped": (lambda s, d: quality.histogram(mastering(s, d).scored, "overall_score", clamp=True), sql("SELECT least(CAST(floor(overall_score * 10) AS BIGINT) + 1, 10) AS bucket, count(*) AS n FROM scored WHERE overall_score IS NOT NULL GROUP BY 1")),
+    "score_bands": (lambda s, d: mastering(s, d).scored.select("source_record_id_a", "source_record_id_b", *[steward.band(c).alias(c.replace("score", "band")) for c in _BANDED]), sql("SELECT source_record_id_a, source_record_id_b, " + ", ".join(f"CASE WHEN {c} >= 0.8 THEN 'green' WHEN {c} >= 0.5 THEN 'yellow' WHEN {c} IS NOT NULL THEN 'red' END AS {c.replace('score', 'band')}" for c in _BANDED) + " FROM scored")),
+    "completeness_bands": (lambda s, d: quality.completeness(mastering(s, d).records, _FIELDS).select("source_system", *[steward.percent_band(f"pct_{f}").alias(f"band_{f}") for f in _FIELDS]), sql("SELECT source_system, " + ", ".join(f"CASE WHEN p_{f} >= 90 THEN 'green' WHEN p_{f} >= 70 THEN 'yellow' ELSE 'red' END AS band_{f}" for f in _FIELDS) + " FROM (SELECT source_system, " + ", ".join(f"round(sum(CASE WHEN {f} <> '' THEN 1 ELSE 0 END) * 100.0 / count(*), 1) AS p_{f}" for f in _FIELDS) + " FROM u GROUP BY 1)")),
+    "dq_summary": (lambda s, d: quality.summary((m := mastering(s, d)).records, m.pairs), sql("SELECT count(DISTINCT source_system) AS sources, count(*) AS records, (SELECT count(*) FROM pairs) AS pairs FROM u")),
+    "strategy_registry": (_registry, "SELECT field_name, strategy_id, 0::BIGINT AS times_selected, 0::BIGINT AS times_won FROM (VALUES " + ", ".join(f"('{f}', '{k}')" for f, ks in matching.STRATEGIES.items() for k in ks) + ") t(field_name, strategy_id)"),
+    "survivorship_config": (_config, "SELECT field_name, rule_type, len(source_priority)::INT AS sources, source_priority[1] AS first_source FROM (VALUES " + ", ".join(f"('{f}', '{r}', [" + ", ".join(f"'{x}'" for x in p or []) + "]::VARCHAR[])" for f, (r, _, p) in survivorship.RULES.items()) + ") t(field_name, rule_type, source_priority)"),
+    "conformed_crm": (lambda s, d: schemas.conform(mastering(s, d).raw["crm"].drop("website"), "crm").select("src_payor_id", "website", "effective_date", "loaded_at", "source_system"), sql("SELECT src_payor_id, CAST(NULL AS VARCHAR) AS website, effective_date, loaded_at, 'crm' AS source_system FROM raw_crm")),
+    "groups_three_hop_full": (lambda s, d: mastering(s, d, mode="three_hop").groups, None),
 }
 
 

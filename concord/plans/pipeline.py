@@ -10,7 +10,7 @@ from concord.sources import feeds
 
 
 class Mastering:
-    """Lazily built tables of one run; candidates and groups are stored once, as several steps read them."""
+    """Lazily built tables of one run; candidates, groups and golden records are stored once, as several steps read them."""
 
     def __init__(self, raw: dict[str, DataFrame], decisions: bool | DataFrame = False, mode: str = "full", ids: str = "uuid5") -> None:
         self.raw, self.mode, self.ids, self.decisions = raw, mode, ids, decisions
@@ -45,11 +45,11 @@ class Mastering:
 
     @property
     def groups(self) -> DataFrame:
-        return self._once("groups", lambda: cluster.groups(self.records, self.candidates, self.mode, self.ids))
+        return self._once("groups", lambda: cluster._stored(cluster.groups(self.records, self.candidates, self.mode, self.ids)))
 
     @property
     def golden(self) -> DataFrame:
-        return self._once("golden", lambda: master.golden(self.records, self.groups))
+        return self._once("golden", lambda: cluster._stored(master.golden(self.records, self.groups)))
 
     @property
     def xref(self) -> DataFrame:

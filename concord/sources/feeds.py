@@ -1,5 +1,8 @@
 """Source feeds: four record layouts derived from ``part``, and readers and writers for files.
 
+Every tenth entity is a group that the ones after it name as their parent, and one of these holds its name in its
+own. Claims have slips in tax ids: a wrong last digit, or two digits changed about.
+
 The derivation is plain SQL that Spark and DuckDB read alike (integer modulus, md5, string functions).
 """
 
@@ -14,7 +17,9 @@ _NAMES = "".join(n.ljust(20) for n in STATES)
 
 ENTITY = f"""
 SELECT p_partkey AS k,
-  upper(substr(md5(cast(p_partkey as string)), 1, 6)) || ' ' || upper(p_name) || ' HEALTH PLAN' AS nm,
+  CASE WHEN p_partkey % 10 = 0 THEN upper(substr(md5(cast(p_partkey as string)), 1, 6)) || ' GROUP OF COMPANIES'
+    WHEN p_partkey % 10 = 5 THEN upper(substr(md5(cast(p_partkey - 5 as string)), 1, 6)) || ' GROUP OF COMPANIES ' || upper(p_name) || ' HEALTH PLAN'
+    ELSE upper(substr(md5(cast(p_partkey as string)), 1, 6)) || ' ' || upper(p_name) || ' HEALTH PLAN' END AS nm,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE cast(((p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END) * 104729) % 900000000 + 100000000 as string) END AS tax,
   substr('{_CODES}', cast((p_partkey % 51) * 2 + 1 as int), 2) AS st,
   trim(substr('{_NAMES}', cast((p_partkey % 51) * 20 + 1 as int), 20)) AS st_name,
@@ -27,7 +32,7 @@ FROM part
 
 FEEDS = {
     "crm": """
-SELECT 'CRM-' || k AS src_payor_id, nm || CASE k % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Corp' ELSE '' END AS payor_name,
+SELECT 'CRM-' || k AS src_payor_id, nm || CASE WHEN k % 10 = 0 THEN '' WHEN k % 4 = 0 THEN ', Inc.' WHEN k % 4 = 1 THEN ' LLC' WHEN k % 4 = 2 THEN ' Corp' ELSE '' END AS payor_name,
   CASE WHEN k % 6 = 0 THEN 'DBA ' || nm END AS payor_name_2, substr(tax, 1, 2) || '-' || substr(tax, 3) AS tax_id,
   CASE WHEN k % 3 = 0 THEN cast(1000000000 + k as string) END AS npi, CASE WHEN k % 2 = 0 THEN 'H' || lpad(cast(k as string), 6, '0') END AS cms_plan_id,
   cast(k % 9000 + 1 as string) || CASE WHEN k % 2 = 0 THEN ' Main St' ELSE ' Oak Avenue' END AS address_line_1,
@@ -39,7 +44,7 @@ SELECT 'CRM-' || k AS src_payor_id, nm || CASE k % 4 WHEN 0 THEN ', Inc.' WHEN 1
 FROM e WHERE (k * 7919 + 11) % 100 < 90""",
     "claims": """
 SELECT 'CLM-' || k AS claims_payor_code, CASE WHEN k % 3 = 0 THEN lower(nm) ELSE nm || ' Inc' END AS payor_name,
-  CASE WHEN k % 10 = 3 THEN substr(tax, 1, 8) || '7' ELSE tax END AS tax_id,
+  CASE WHEN k % 10 = 3 THEN substr(tax, 1, 8) || cast((cast(substr(tax, 9, 1) as int) + 1) % 10 as string) WHEN k % 10 = 8 THEN substr(tax, 1, 4) || substr(tax, 6, 1) || substr(tax, 5, 1) || substr(tax, 7) ELSE tax END AS tax_id,
   cast(k % 9000 + 1 as string) || ' Main Street, Suite 5, City' || cast(k % 97 as string) || ', ' || st AS address,
   CASE WHEN k % 4 <> 0 THEN 'City' || cast(k % 97 as string) END AS city, CASE k % 5 WHEN 0 THEN st_name WHEN 1 THEN lower(st) ELSE st END AS state, zip,
   CASE k % 3 WHEN 0 THEN 'commercial' WHEN 1 THEN 'medicaid' ELSE 'medicare' END AS payor_type, CASE WHEN k % 2 = 0 THEN 'HMO' ELSE 'PPO' END AS line_of_business,
@@ -54,7 +59,7 @@ SELECT 'CRED-' || k AS cred_payor_id, nm || CASE WHEN k % 5 = 0 THEN ' Ltd.' ELS
 FROM e WHERE (k * 7919 + 59) % 100 < 60""",
     "cms_reference": """
 SELECT 'REF-' || k AS ref_id, nm || CASE WHEN k % 2 = 0 THEN ' Inc.' ELSE '' END AS official_name,
-  upper(substr(md5(cast(k - k % 10 as string)), 1, 6)) || ' PARENT' AS parent_org_name, tax AS tax_id, 'H' || lpad(cast(k as string), 6, '0') AS cms_contract_id,
+  upper(substr(md5(cast(k - k % 10 as string)), 1, 6)) || ' GROUP OF COMPANIES' AS parent_org_name, tax AS tax_id, 'H' || lpad(cast(k as string), 6, '0') AS cms_contract_id,
   CASE k % 3 WHEN 0 THEN 'commercial' WHEN 1 THEN 'medicaid' ELSE 'medicare' END AS plan_type, st AS state, cast(k * 13 % 100000 as int) AS enrollment_count,
   cast(k % 5 as double) AS star_rating, 'https://example/' || k AS source_url, ts AS loaded_at
 FROM e WHERE (k * 7919 + 83) % 100 < 40""",

@@ -11,7 +11,7 @@ from concord.plans import catalogue
 from concord.plans.pipeline import mastering
 from concord.plans.service import LAYERS, Service
 from concord.settings import ABBREVIATIONS
-from concord.sources import feeds, mess
+from concord.sources import feeds, mess, schemas
 
 
 def test_kernels():
@@ -125,7 +125,7 @@ def test_strategy_performance_has_all_strategies_and_columns(spark):
     for r in matching.decide(m.scored, m.log).collect():
         for k in r.strategies_used:
             won[k].append(r)
-    got = {r.strategy_id: r.asDict() for r in catalogue.queries()["strategy_performance_all"](spark, d).collect()}
+    got = {r.strategy_id: r.asDict() for r in catalogue.queries()["strategy_performance"](spark, d).collect()}
     for k, rows in won.items():
         n = lambda f, s: sum(r.final_decision == f and r.steward_decision == s for r in rows)  # noqa: B023, E731
         tp, fp, tn, fn = n("match", "confirmed_match"), n("match", "confirmed_no_match"), n("no_match", "confirmed_no_match"), n("no_match", "confirmed_match")
@@ -165,7 +165,7 @@ def test_strategies_without_a_win_have_a_row(spark):
         for held, names in ((x.phone and y.phone, ("PHONE_E164", "PHONE_L7")), (x.cms_plan_id and y.cms_plan_id, ("CMS_EXACT", "CMS_PFX"))):
             for s in names if held else ():
                 tried[s] += 1
-    rows = catalogue.queries()["strategy_performance_all"](spark, d).collect()
+    rows = catalogue.queries()["strategy_performance"](spark, d).collect()
     fields = [r.field_name for r in rows]
     assert {f: fields.count(f) for f in fields} == {"name": 5, "address": 4, "phone": 3, "tax_id": 3, "cms_plan_id": 2} and len({r.strategy_id for r in rows}) == 17
     assert {r.strategy_id: r.times_selected for r in rows if r.times_selected} == tried
@@ -178,7 +178,7 @@ def test_field_compare_has_all_fields(spark):
     by = {r.source_record_id: r for r in m.records.collect()}
     fields = "payor_name tax_id npi cms_plan_id address_line_1 city state_code zip_code phone payor_type".split()
     cells = ((a, b, f, by[a][f] or None, by[b][f] or None) for a, b in m.pairs.collect() for f in fields)
-    got = [tuple(r) for r in catalogue.queries()["field_compare_all"](spark, d).collect()]
+    got = [tuple(r) for r in catalogue.queries()["field_compare"](spark, d).collect()]
     assert sorted(got, key=str) == sorted(((*c, _colour(c[3], c[4])) for c in cells), key=str) and {r[5] for r in got} >= {"neutral", "green", "red"}
 
 
@@ -198,7 +198,7 @@ def test_field_sources_has_all_fields(spark):
         for f, key in keys.items():
             if held := [r for r in rows if r[f] is not None and not (f == "payor_name_alt" and r[f] == "")]:
                 want.add((g, f, min(held, key=lambda r: (key(r), r.source_record_id)).source_record_id))  # noqa: B023
-    got = [tuple(r) for r in catalogue.queries()["field_sources_all"](spark, d).collect()]
+    got = [tuple(r) for r in catalogue.queries()["field_sources"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and len({f for _, f, _ in got}) == 15
 
 
@@ -213,3 +213,30 @@ def test_entry_imports_without_the_optional_part():
 
     names = entry.queries()
     assert "golden" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_feeds_reach_what_they_are_to_reach(spark):
+    """Slips and swaps in tax ids, conflicting ids in a group, parents by reference and by name, names of uneven length."""
+    m = mastering(spark, "/root/testdata/sf0.001")
+    kinds = {round(r.score_tax_id, 1) for r in m.scored.where("score_tax_id is not null").select("score_tax_id").distinct().collect()}
+    assert {0.7, 0.9, 1.0} <= kinds and m.scored.where("winning_name_strategy = 'NAME_ABR'").count()
+    assert survivorship.tax_conflicts(m.records, m.groups).count()
+    assert {r.inference_method for r in m.hierarchy.select("inference_method").distinct().collect()} == {"name_ref_match", "name_substring"}
+    assert 0 < master.unassigned(m.golden.select("master_payor_id"), m.hierarchy).count() < m.golden.count()
+
+
+def test_declared_layouts(spark):
+    df = spark.createDataFrame([("1", "5"), ("2", None)], "ref_id string, enrollment_count string")
+    got = schemas.conform(df, "cms_reference")
+    assert got.columns == schemas.declared("cms_reference").names and [(r.enrollment_count, r.source_system) for r in got.orderBy("ref_id").collect()] == [(5, "cms_reference"), (None, "cms_reference")]
+    assert got.where("loaded_at is null").count() == 0
+    with pytest.raises(Exception, match="ref_id is null"):
+        schemas.conform(spark.createDataFrame([(None,)], "ref_id string"), "cms_reference").collect()
+    assert schemas.add_column(df, "REF_ID", "int").columns == df.columns and schemas.add_column(df, "x", "int").columns[-1] == "x"
+    assert (schemas.layer_name(" match ", "dev"), schemas.layer_name(None, "dev"), schemas.layer_name(" ", "dev")) == ("match", "dev", "dev")
+
+
+def test_upsert_replaces_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 9), ("a", 9), (None, 8), ("c", 7)], old.schema)
+    assert sorted(map(tuple, steward.upsert(old, new, "k").collect()), key=str) == [("a", 9), ("b", 3), ("c", 7), (None, 8)]
