@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,9 @@ def _udf(kernel: Callable[[str, str], float], strip: bool) -> Callable:
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         clean = (lambda s: s.upper().strip()) if strip else (lambda s: s)
-        return pd.Series([kernel(clean(x), clean(y)) if x and y else None for x, y in zip(a, b, strict=True)], dtype="float64")
+        # equal pairs of strings of a batch are scored once
+        once = cache(lambda x, y: kernel(clean(x), clean(y)) if x and y else None)
+        return pd.Series([once(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return run
 
@@ -37,10 +40,9 @@ _ROUTED = T.StructType([T.StructField(f"{f}_{k}", t) for f in ("name", "addr") f
 
 @F.pandas_udf(_ROUTED)
 def routed(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b, x, y in zip(name_a, name_b, addr_a, addr_b, strict=True):
-        name = (*kernels.route_name(a, b), kernels.select_name(a, b)) if a and b else (None, None, ())
-        rows.append((*name, *((*kernels.route_address(x, y), kernels.select_address(x, y)) if x and y else (None, None, ()))))
+    name = cache(lambda a, b: (*kernels.route_name(a, b), kernels.select_name(a, b)) if a and b else (None, None, ()))
+    addr = cache(lambda x, y: (*kernels.route_address(x, y), kernels.select_address(x, y)) if x and y else (None, None, ()))
+    rows = [(*name(a, b), *addr(x, y)) for a, b, x, y in zip(name_a, name_b, addr_a, addr_b, strict=True)]
     return pd.DataFrame(rows, columns=["name_score", "name_strategy", "name_selected", "addr_score", "addr_strategy", "addr_selected"]).astype({"name_score": "float64", "addr_score": "float64"})
 
 

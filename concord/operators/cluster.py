@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.text import uuid5_dns
 from concord.operators.matching import A, B
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read again; survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/cluster-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from concord.storage import discard, new_path, stored
 
 
 def edges(candidates: DataFrame) -> DataFrame:
@@ -32,14 +18,21 @@ def edges(candidates: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the least node that each one reaches. Min-label propagation with pointer jumping."""
-    links = _stored(links.select("src", "dst").distinct())
-    labels = _stored(links.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node"))
+    """(node, component): the least node that each one reaches. Min-label propagation with pointer jumping.
+
+    Each round is written and the one before it removed.
+    """
+    spark = links.sparkSession
+    links = stored(links.select("src", "dst").distinct(), "links")
+    path = new_path(spark, "labels")
+    labels = stored(links.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node"), "labels", path)
     while True:
         near = links.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("near"))
         new = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", "component", F.least("component", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        done = _stored(new.join(jump, "to").select("node", F.least("to", "far").alias("new"), (F.least("to", "far") != F.col("component")).alias("moved")))
+        last, path = path, new_path(spark, "labels")
+        done = stored(new.join(jump, "to").select("node", F.least("to", "far").alias("new"), (F.least("to", "far") != F.col("component")).alias("moved")), "labels", path)
+        discard(spark, last)
         labels = done.select("node", F.col("new").alias("component"))
         if not done.where("moved").limit(1).count():
             break

@@ -11,13 +11,11 @@ _COMPLETE = "payor_name payor_name_alt tax_id npi cms_plan_id address_line_1 cit
 
 
 def golden(records: DataFrame, groups: DataFrame, **rules: object) -> DataFrame:
-    s = survive(records, groups, **rules)
-    members = groups.join(records.select("source_record_id", "source_system"), "source_record_id")
-    stats = members.groupBy("match_group_id").agg(
-        F.countDistinct("source_system").alias("source_count"), F.count(F.lit(1)).alias("record_count"), F.avg(F.coalesce("group_confidence", F.lit(1.0))).alias("confidence_score")
-    )
+    """One row per group: the surviving fields and the group's figures, from one join and one aggregation."""
+    figures = [F.countDistinct("source_system").alias("source_count"), F.count(F.lit(1)).alias("record_count"), F.avg(F.coalesce("group_confidence", F.lit(1.0))).alias("confidence_score")]
+    s = survive(records, groups, figures=figures, **rules)
     done = sum((F.col(c).isNotNull().cast("int") for c in _COMPLETE), F.lit(0))
-    return s.join(stats, "match_group_id").withColumn("completeness_score", F.round(done / 15.0, 4)).withColumnRenamed("match_group_id", "master_payor_id")
+    return s.withColumn("completeness_score", F.round(done / 15.0, 4)).withColumnRenamed("match_group_id", "master_payor_id")
 
 
 def xref(records: DataFrame, groups: DataFrame) -> DataFrame:
@@ -29,8 +27,10 @@ def xref(records: DataFrame, groups: DataFrame) -> DataFrame:
 def infer_hierarchy(gold: DataFrame, refs: DataFrame, records: DataFrame, least: int = 6) -> DataFrame:
     """Parents by reference to a golden name, and by a name contained in a longer one.
 
-    The containment join runs on n-grams of ``least`` characters: a contained name of that length or more has
-    its first n-gram in the longer name, so the equi-join loses nothing; ``contains`` then decides.
+    The containment join runs on n-grams of ``least`` characters: a longer name holds all n-grams of a contained
+    name of that length or more, so an equi-join on any one of them loses nothing; ``contains`` then decides. Each
+    name is looked for by the n-gram of its own that fewest names hold, so that common words, which would be
+    hot keys, are joined for those names alone that consist of nothing else. Equal names are joined once.
     """
     names = gold.select("master_payor_id", F.upper(F.trim("payor_name")).alias("name")).where(F.col("name").isNotNull())
     own = refs.join(records.select("source_record_id", "parent_ref"), "source_record_id").where(F.col("parent_ref").isNotNull() & (F.col("parent_ref") != ""))
@@ -39,13 +39,15 @@ def infer_hierarchy(gold: DataFrame, refs: DataFrame, records: DataFrame, least:
         .join(names.select(F.col("master_payor_id").alias("parent_master_id"), "name"), "name").where("parent_master_id != child_master_id")
         .select("parent_master_id", "child_master_id", F.lit("name_ref_match").alias("inference_method"))
     )
-    grams = names.where(F.length("name") > least).select(
-        F.col("master_payor_id").alias("child_master_id"), F.col("name").alias("long"),
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("gram"),
-    )
-    heads = names.where(F.length("name") >= least).select(F.col("master_payor_id").alias("parent_master_id"), F.col("name").alias("short"), F.left("name", F.lit(least)).alias("gram"))
+    texts = names.where(F.length("name") >= least).select("name").distinct()
+    grams = texts.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram of one name leads from that name to itself
+    rarest = grams.join(held, "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("x")).where("x.n > 1").select(F.col("name").alias("short"), F.col("x.gram").alias("gram"))
+    inside = grams.withColumnRenamed("name", "long").join(rarest, "gram").where(F.col("long").contains(F.col("short")) & (F.length("short") < F.length("long"))).select("short", "long")
     by_name = (
-        grams.join(heads, "gram").where(F.col("long").contains(F.col("short")) & (F.length("short") < F.length("long")) & (F.col("parent_master_id") != F.col("child_master_id")))
+        inside.join(names.select(F.col("master_payor_id").alias("parent_master_id"), F.col("name").alias("short")), "short")
+        .join(names.select(F.col("master_payor_id").alias("child_master_id"), F.col("name").alias("long")), "long")
         .select("parent_master_id", "child_master_id", F.lit("name_substring").alias("inference_method"))
     )
     return by_ref.unionByName(by_name).distinct()

@@ -13,13 +13,26 @@ from concord.settings import DEFAULT, Settings
 
 A, B = "source_record_id_a", "source_record_id_b"
 
+#: records of a block whose pairs one task lists
+CELL = 2000
 
-def blocking_pairs(records: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Distinct pairs (a < b) that share a non-empty blocking key: one equi-join a key, never a disjunctive join."""
+
+def blocking_pairs(records: DataFrame, settings: Settings = DEFAULT, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (a < b) that share a non-empty blocking key: one equi-join a key, never a disjunctive join.
+
+    A block of more than ``cell`` records is dealt into parts, and the pairs of two parts (or within one) are a task's
+    worth of their own: a hot key costs as many tasks as its pairs ask for, and no pair is lost.
+    """
     parts = []
     for key in settings.blocking:
-        own = records.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("source_record_id").alias(A), F.col(key).alias("k"))
-        parts.append(own.join(own.withColumnRenamed(A, B), "k").where(F.col(A) < F.col(B)).select(A, B))
+        own = records.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("source_record_id").alias("r"), F.col(key).alias("k"))
+        large = own.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts")).where("parts > 1")
+        own = own.join(large, "k", "left").select("r", "k", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("r"), "parts").cast("int"))
+        # parts p <= q meet in the cell (p, q)
+        first = own.select("k", "p", F.explode(F.sequence("p", F.col("parts") - 1)).alias("q"), F.col("r").alias(A))
+        second = own.select("k", F.explode(F.sequence(F.lit(0), "p")).alias("p"), F.col("p").alias("q"), F.col("r").alias(B))
+        met = first.join(second, ["k", "p", "q"]).where((F.col(A) != F.col(B)) & ((F.col("p") < F.col("q")) | (F.col(A) < F.col(B))))
+        parts.append(met.select(F.least(A, B).alias(A), F.greatest(A, B).alias(B)))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -42,7 +55,7 @@ _SCORED = ("payor_name_clean", "tax_id", "address_line_1", "city", "state_code",
 
 
 def score_pairs(pairs: DataFrame, records: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Deterministic rules first, then the ensemble. One Arrow UDF call per distinct pair of strings."""
+    """Deterministic rules first, then the ensemble. String kernels run in one Arrow UDF, once for equal strings of a batch."""
     side = lambda s: records.select(F.col("source_record_id").alias(f"source_record_id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in _SCORED])
     both = pairs.join(side("a"), A).join(side("b"), B)
     place = lambda s: F.concat(*[x for i, c in enumerate(("address_line_1", "city", "state_code", "zip_code")) for x in ([F.lit(" ")] if i else []) + [F.coalesce(f"{c}_{s}", F.lit("")) if i else F.col(f"{c}_{s}")]])

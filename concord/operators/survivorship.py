@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,9 @@ def origin(field: str, rule: str, priority: list[str] | None = None) -> Column |
     return F.min_by("source_record_id", F.when(_held(field, rule), _order(rule, field, priority)))
 
 
-def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallbacks: bool = False, overrides: DataFrame | None = None) -> DataFrame:
-    """One row per group with the surviving fields and ``field_sources``. ``overrides``: match_group_id, field, value (rule ``manual``)."""
-    rows = records.join(groups.select("match_group_id", "source_record_id"), "source_record_id")
+def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallbacks: bool = False, overrides: DataFrame | None = None, figures: Sequence[Column] = ()) -> DataFrame:
+    """One row per group with the surviving fields, ``field_sources`` and further aggregates (``figures``). ``overrides``: match_group_id, field, value (rule ``manual``)."""
+    rows = records.join(groups, "source_record_id")
     aggs, sources = [], []
     for f, (rule, fallback, priority) in rules.items():
         v = value(f, rule, priority)
@@ -84,7 +86,7 @@ def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallback
         if (o := origin(f, rule, priority)) is not None:
             sources.append(F.struct(F.lit(f).alias("key"), o.alias("value")))
     found = F.map_from_entries(F.filter(F.array(*sources), lambda e: e["value"].isNotNull())) if sources else F.lit(None).cast("map<string,string>")
-    out = rows.groupBy("match_group_id").agg(*aggs, found.alias("field_sources"))
+    out = rows.groupBy("match_group_id").agg(*aggs, found.alias("field_sources"), *figures)
     if overrides is not None:
         per = overrides.groupBy("match_group_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("o"))
         out = out.join(per, "match_group_id", "left").withColumns({f: F.coalesce(F.col("o")[f].cast(out.schema[f].dataType), F.col(f)) for f in rules}).drop("o")

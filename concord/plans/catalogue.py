@@ -32,7 +32,7 @@ def _pairs(column: str, *fields: str) -> Callable[[SparkSession, str], DataFrame
 
     def rows(spark: SparkSession, d: str) -> DataFrame:
         m = mastering(spark, d)
-        side = lambda s: m.records.select(F.col("source_record_id").alias(f"source_record_id_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in fields])
+        side = lambda s: m.staged.select(F.col("source_record_id").alias(f"source_record_id_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in fields])
         return m.pairs.join(side("a"), "source_record_id_a").join(side("b"), "source_record_id_b")
 
     return rows
@@ -116,7 +116,7 @@ def _rule(kind: str) -> Query:
         overrides = None
         if kind == "manual":
             overrides = m.groups.where("is_survivor").select("match_group_id", F.lit(field).alias("field"), F.lit("0000000000").alias("value")).where(F.col("match_group_id") < "8")
-        return survivorship.survive(m.records, m.groups, {field: (kind, None, survivorship._PRIORITY)}, overrides=overrides).select("match_group_id", F.col(field).alias("value"))
+        return survivorship.survive(m.staged, m.groups, {field: (kind, None, survivorship._PRIORITY)}, overrides=overrides).select("match_group_id", F.col(field).alias("value"))
 
     return run
 
@@ -160,7 +160,7 @@ def _field_sources_sql() -> str:
 
 def _kpis(spark: SparkSession, d: str) -> DataFrame:
     m = mastering(spark, d)
-    parts = {"records": m.records, "golden": m.groups.where("is_survivor"), "candidates": m.candidates, "pending_reviews": m.candidates.where("auto_decision = 'review' and steward_decision is null"), "matches": m.candidates.where("final_decision = 'match'")}
+    parts = {"records": m.staged, "golden": m.groups.where("is_survivor"), "candidates": m.candidates, "pending_reviews": m.candidates.where("auto_decision = 'review' and steward_decision is null"), "matches": m.candidates.where("final_decision = 'match'")}
     out = None
     for k, v in parts.items():
         row = v.agg(F.count(F.lit(1)).alias("value")).select(F.lit(k).alias("kpi"), "value")
@@ -172,9 +172,9 @@ def _dq(spark: SparkSession, d: str) -> DataFrame:
     """Failing rows of each data-quality assertion."""
     m = mastering(spark, d)
     checks = {
-        "not_null_tax": quality.not_null(m.records, "tax_id"), "unique_record": quality.unique(m.records, "source_record_id"), "unique_tax": quality.unique(m.records, "tax_id"),
+        "not_null_tax": quality.not_null(m.staged, "tax_id"), "unique_record": quality.unique(m.staged, "source_record_id"), "unique_tax": quality.unique(m.staged, "tax_id"),
         "accepted_decision": quality.accepted(m.candidates, "final_decision", ["match", "no_match"]), "accepted_rule": quality.accepted(m.candidates, "match_rule", ["DET-1", "DET-2"]),
-        "fk_xref_golden": quality.relationship(m.xref, "master_payor_id", m.golden, "master_payor_id"), "orphans": quality.orphans(m.records, m.xref),
+        "fk_xref_golden": quality.relationship(m.xref, "master_payor_id", m.golden, "master_payor_id"), "orphans": quality.orphans(m.staged, m.xref),
     }
     out = None
     for k, v in checks.items():
@@ -196,7 +196,7 @@ def _config_sql() -> str:
 
 def _compare(spark: SparkSession, d: str) -> DataFrame:
     m = mastering(spark, d)
-    return steward.compare_fields(m.pairs, m.records)
+    return steward.compare_fields(m.pairs, m.staged)
 
 
 _PART = "p_partkey AS entity_id, concat('Blue Cross Blue Shield of ', p_brand, ', Inc.') AS name, lpad(cast(p_partkey AS string), 9, '1') AS tax_id, 'OH' AS state, 'Erie' AS city, '44101' AS zip, concat(cast(p_size AS string), ' Main Street') AS address, concat('312555', lpad(cast(p_partkey % 10000 AS string), 4, '0')) AS phone, 'inactive' AS status"
@@ -274,7 +274,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     **{f"stg_{n}": (_staged(n), sql(f"SELECT {', '.join(_STAGED)} FROM stg_{n}")) for n in staging.STANDARDIZE},
     "stg_unioned_keys": (lambda s, d: mastering(s, d).records.select("source_record_id", "block_name_key", "block_tax_id", "block_zip3_name4"), sql("SELECT source_record_id, block_name_key, block_tax_id, block_zip3_name4 FROM u")),
     "blocking_pairs": (lambda s, d: mastering(s, d).pairs, sql("SELECT a.source_record_id AS source_record_id_a, b.source_record_id AS source_record_id_b FROM u a JOIN u b ON a.source_record_id < b.source_record_id AND (a.block_name_key = b.block_name_key OR (a.block_tax_id = b.block_tax_id AND a.block_tax_id <> '') OR a.block_zip3_name4 = b.block_zip3_name4)")),
-    "block_sizes": (lambda s, d: matching.block_sizes(mastering(s, d).records), sql(" UNION ALL ".join(f"SELECT '{k}' AS blocking_key, count(*) AS blocks, max(n) AS largest, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS comparisons FROM (SELECT {k}, count(*) AS n FROM u WHERE {k} <> '' GROUP BY 1)" for k in ("block_name_key", "block_tax_id", "block_zip3_name4")))),
+    "block_sizes": (lambda s, d: matching.block_sizes(mastering(s, d).staged), sql(" UNION ALL ".join(f"SELECT '{k}' AS blocking_key, count(*) AS blocks, max(n) AS largest, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS comparisons FROM (SELECT {k}, count(*) AS n FROM u WHERE {k} <> '' GROUP BY 1)" for k in ("block_name_key", "block_tax_id", "block_zip3_name4")))),
     **{n: (_similarity(f, c), _similarity_sql(f, q) if q else None) for n, (f, c, q) in SIMILARITIES.items()},
     "composite_v1": (_composite_v1, _composite_v1_sql()),
     "ensemble_scores": (lambda s, d: mastering(s, d).scored.select(_SCORE), sql(f"SELECT {', '.join(_SCORE)} FROM scored".replace("source_record_id_a source_record_id_b", "source_record_id_a, source_record_id_b"))),
@@ -284,13 +284,13 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "groups_connected": (lambda s, d: mastering(s, d).groups, sql("SELECT match_group_id, source_record_id, is_survivor, group_confidence FROM grp")),
     "groups_connected_uuid": (lambda s, d: mastering(s, d, ids="uuid5").groups, None),
     "groups_three_hop": (
-        lambda s, d: (m := mastering(s, d)) and cluster.three_hop(m.records.select(F.col("source_record_id").alias("node")), cluster.edges(m.candidates)),
+        lambda s, d: (m := mastering(s, d)) and cluster.three_hop(m.staged.select(F.col("source_record_id").alias("node")), cluster.edges(m.candidates)),
         sql("SELECT node, least(c2, coalesce((SELECT min(y.c2) FROM edge JOIN (SELECT x.node, least(c1, coalesce((SELECT min(z.c1) FROM edge JOIN (SELECT source_record_id AS node, coalesce((SELECT min(dst) FROM edge WHERE src = source_record_id), source_record_id) AS c1 FROM u) z ON z.node = dst WHERE src = x.node), c1)) AS c2 FROM (SELECT source_record_id AS node, coalesce((SELECT min(dst) FROM edge WHERE src = source_record_id), source_record_id) AS c1 FROM u) x) y ON y.node = dst WHERE src = w.node), c2)) AS component FROM (SELECT x.node, least(c1, coalesce((SELECT min(z.c1) FROM edge JOIN (SELECT source_record_id AS node, coalesce((SELECT min(dst) FROM edge WHERE src = source_record_id), source_record_id) AS c1 FROM u) z ON z.node = dst WHERE src = x.node), c1)) AS c2 FROM (SELECT source_record_id AS node, coalesce((SELECT min(dst) FROM edge WHERE src = source_record_id), source_record_id) AS c1 FROM u) x) w"),
     ),
     "golden": (_golden, sql(f"SELECT {', '.join('round(confidence_score, 4) AS confidence_score' if c == 'confidence_score' else c for c in _GOLD)} FROM gold")),
     "xref": (lambda s, d: mastering(s, d).xref, sql("SELECT source_record_id, master_payor_id, source_system, source_id, match_confidence FROM xr")),
     "field_sources": (_field_sources, _field_sources_sql()),
-    "tax_conflicts": (lambda s, d: survivorship.tax_conflicts((m := mastering(s, d)).records, m.groups), sql("SELECT match_group_id AS entity_id, 'conflict_detected' AS action, 'tax_id' AS field_name, array_to_string(list_sort(list(DISTINCT tax_id)), ',') AS new_value FROM u JOIN grp USING (source_record_id) WHERE tax_id <> '' GROUP BY 1 HAVING count(DISTINCT tax_id) > 1")),
+    "tax_conflicts": (lambda s, d: survivorship.tax_conflicts((m := mastering(s, d)).staged, m.groups), sql("SELECT match_group_id AS entity_id, 'conflict_detected' AS action, 'tax_id' AS field_name, array_to_string(list_sort(list(DISTINCT tax_id)), ',') AS new_value FROM u JOIN grp USING (source_record_id) WHERE tax_id <> '' GROUP BY 1 HAVING count(DISTINCT tax_id) > 1")),
     **{f"survivorship_rule_{k}": (_rule(k), _rule_sql(k)) for k in survivorship.KINDS},
     "hierarchy_inferred": (lambda s, d: mastering(s, d).hierarchy, sql("SELECT * FROM hier")),
     "payor_hierarchy": (lambda s, d: master.hierarchy(mastering(s, d).hierarchy).select("hierarchy_id", "parent_master_id", "child_master_id", "relationship_type", "source", "steward_confirmed"), sql("SELECT md5(parent_master_id || '|' || child_master_id || '|' || inference_method) AS hierarchy_id, parent_master_id, child_master_id, 'parent_company' AS relationship_type, inference_method AS source, false AS steward_confirmed FROM hier")),
@@ -310,14 +310,14 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "name_expansion": (lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", expand(F.concat(F.lit("bcbs of "), "n_name")).alias("expanded")), "SELECT n_nationkey, 'BLUE CROSS BLUE SHIELD OF ' || upper(n_name) AS expanded FROM nation"),
     "hierarchy_named": (lambda s, d: master.named((m := mastering(s, d)).hierarchy, m.golden).select("parent_master_id", "child_master_id", "inference_method", "parent_name", "child_name"), sql("SELECT hier.*, p.payor_name AS parent_name, c.payor_name AS child_name FROM hier JOIN gold p ON p.master_payor_id = parent_master_id JOIN gold c ON c.master_payor_id = child_master_id")),
     "links_of_golden": (lambda s, d: master.links_of((m := mastering(s, d)).hierarchy, _first_parent(m)), sql(f"SELECT hier.* FROM hier WHERE {_PARENT} IN (parent_master_id, child_master_id)")),
-    "sources_of_golden": (lambda s, d: master.sources_of((m := mastering(s, d)).xref, m.records, _first_parent(m)).select("source_record_id", "source_system", "payor_name", "tax_id"), sql(f"SELECT source_record_id, u.source_system, payor_name, tax_id FROM xr JOIN u USING (source_record_id) WHERE master_payor_id = {_PARENT}")),
+    "sources_of_golden": (lambda s, d: master.sources_of((m := mastering(s, d)).xref, m.staged, _first_parent(m)).select("source_record_id", "source_system", "payor_name", "tax_id"), sql(f"SELECT source_record_id, u.source_system, payor_name, tax_id FROM xr JOIN u USING (source_record_id) WHERE master_payor_id = {_PARENT}")),
     "recent_activity": (lambda s, d: steward.recent(steward.audit_rows(sample_decisions(mastering(s, d).pairs))).select("change_id", "entity_id", "action"), sql(f"SELECT change_id, entity_id, action FROM ({_AUDIT}) ORDER BY change_id LIMIT 10")),
     "audit_page": (_audit_page, sql(f"SELECT change_id, entity_id, (SELECT count(*) > 40 FROM ({_AUDIT}) WHERE action = 'confirmed_match') AS more FROM ({_AUDIT}) WHERE action = 'confirmed_match' ORDER BY change_id LIMIT 20 OFFSET 20")),
     "golden_search": (lambda s, d: steward.search(mastering(s, d).golden.select("master_payor_id", "payor_name", "city"), "group of", "master_payor_id"), sql("SELECT master_payor_id, payor_name, city FROM gold WHERE contains(lower(concat_ws(' ', master_payor_id, payor_name, city)), 'group of') ORDER BY master_payor_id LIMIT 20")),
     "score_histogram_clamped": (lambda s, d: quality.histogram(mastering(s, d).scored, "overall_score", clamp=True), sql("SELECT least(CAST(floor(overall_score * 10) AS BIGINT) + 1, 10) AS bucket, count(*) AS n FROM scored WHERE overall_score IS NOT NULL GROUP BY 1")),
     "score_bands": (lambda s, d: mastering(s, d).scored.select("source_record_id_a", "source_record_id_b", *[steward.band(c).alias(c.replace("score", "band")) for c in _BANDED]), sql("SELECT source_record_id_a, source_record_id_b, " + ", ".join(f"CASE WHEN {c} >= 0.8 THEN 'green' WHEN {c} >= 0.5 THEN 'yellow' WHEN {c} IS NOT NULL THEN 'red' END AS {c.replace('score', 'band')}" for c in _BANDED) + " FROM scored")),
     "completeness_bands": (lambda s, d: quality.completeness(mastering(s, d).records, _FIELDS).select("source_system", *[steward.percent_band(f"pct_{f}").alias(f"band_{f}") for f in _FIELDS]), sql("SELECT source_system, " + ", ".join(f"CASE WHEN p_{f} >= 90 THEN 'green' WHEN p_{f} >= 70 THEN 'yellow' ELSE 'red' END AS band_{f}" for f in _FIELDS) + " FROM (SELECT source_system, " + ", ".join(f"round(sum(CASE WHEN {f} <> '' THEN 1 ELSE 0 END) * 100.0 / count(*), 1) AS p_{f}" for f in _FIELDS) + " FROM u GROUP BY 1)")),
-    "dq_summary": (lambda s, d: quality.summary((m := mastering(s, d)).records, m.pairs), sql("SELECT count(DISTINCT source_system) AS sources, count(*) AS records, (SELECT count(*) FROM pairs) AS pairs FROM u")),
+    "dq_summary": (lambda s, d: quality.summary((m := mastering(s, d)).staged, m.pairs), sql("SELECT count(DISTINCT source_system) AS sources, count(*) AS records, (SELECT count(*) FROM pairs) AS pairs FROM u")),
     "strategy_registry": (_registry, "SELECT field_name, strategy_id, 0::BIGINT AS times_selected, 0::BIGINT AS times_won FROM (VALUES " + ", ".join(f"('{f}', '{k}')" for f, ks in matching.STRATEGIES.items() for k in ks) + ") t(field_name, strategy_id)"),
     "survivorship_config": (_config, "SELECT field_name, rule_type, len(source_priority)::INT AS sources, source_priority[1] AS first_source FROM (VALUES " + ", ".join(f"('{f}', '{r}', [" + ", ".join(f"'{x}'" for x in p or []) + "]::VARCHAR[])" for f, (r, _, p) in survivorship.RULES.items()) + ") t(field_name, rule_type, source_priority)"),
     "conformed_crm": (lambda s, d: schemas.conform(mastering(s, d).raw["crm"].drop("website"), "crm").select("src_payor_id", "website", "effective_date", "loaded_at", "source_system"), sql("SELECT src_payor_id, CAST(NULL AS VARCHAR) AS website, effective_date, loaded_at, 'crm' AS source_system FROM raw_crm")),

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from concord.operators import cluster, master, matching, staging
 from concord.sources import feeds
+from concord.storage import stored
 
 
 class Mastering:
-    """Lazily built tables of one run; candidates, groups and golden records are stored once, as several steps read them."""
+    """Lazily built tables of one run.
+
+    ``records`` is the plan of staging; ``staged`` is its result, stored once, as are candidates, groups and golden
+    records: several steps read them, and each then scans the columns it needs instead of staging all feeds again.
+    """
 
     def __init__(self, raw: dict[str, DataFrame], decisions: bool | DataFrame = False, mode: str = "full", ids: str = "uuid5") -> None:
         self.raw, self.mode, self.ids, self.decisions = raw, mode, ids, decisions
@@ -25,13 +30,19 @@ class Mastering:
     def records(self) -> DataFrame:
         return self._once("records", lambda: staging.union_all(self.raw))
 
+    @property
+    def staged(self) -> DataFrame:
+        return self._once("staged", lambda: stored(self.records, "records"))
+
     @property
     def pairs(self) -> DataFrame:
-        return self._once("pairs", lambda: matching.blocking_pairs(self.records))
+        """Stored only where decisions are made up from them, as they are read twice then."""
+        made = lambda: matching.blocking_pairs(self.staged)
+        return self._once("pairs", (lambda: stored(made(), "pairs")) if self.decisions is True else made)
 
     @property
     def scored(self) -> DataFrame:
-        return self._once("scored", lambda: matching.score_pairs(self.pairs, self.records))
+        return self._once("scored", lambda: matching.score_pairs(self.pairs, self.staged))
 
     @property
     def log(self) -> DataFrame | None:
@@ -41,23 +52,23 @@ class Mastering:
 
     @property
     def candidates(self) -> DataFrame:
-        return self._once("candidates", lambda: cluster._stored(matching.decide(self.scored, self.log)))
+        return self._once("candidates", lambda: stored(matching.decide(self.scored, self.log), "candidates"))
 
     @property
     def groups(self) -> DataFrame:
-        return self._once("groups", lambda: cluster._stored(cluster.groups(self.records, self.candidates, self.mode, self.ids)))
+        return self._once("groups", lambda: stored(cluster.groups(self.staged, self.candidates, self.mode, self.ids), "groups"))
 
     @property
     def golden(self) -> DataFrame:
-        return self._once("golden", lambda: cluster._stored(master.golden(self.records, self.groups)))
+        return self._once("golden", lambda: stored(master.golden(self.staged, self.groups), "golden"))
 
     @property
     def xref(self) -> DataFrame:
-        return self._once("xref", lambda: master.xref(self.records, self.groups))
+        return self._once("xref", lambda: master.xref(self.staged, self.groups))
 
     @property
     def hierarchy(self) -> DataFrame:
-        return self._once("hierarchy", lambda: master.infer_hierarchy(self.golden, self.xref, self.records))
+        return self._once("hierarchy", lambda: master.infer_hierarchy(self.golden, self.xref, self.staged))
 
 
 def sample_decisions(pairs: DataFrame) -> DataFrame:

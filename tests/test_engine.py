@@ -240,3 +240,25 @@ def test_upsert_replaces_null_and_repeated_keys(spark):
     old = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
     new = spark.createDataFrame([("a", 9), ("a", 9), (None, 8), ("c", 7)], old.schema)
     assert sorted(map(tuple, steward.upsert(old, new, "k").collect()), key=str) == [("a", 9), ("b", 3), ("c", 7), (None, 8)]
+
+
+def test_a_large_block_is_dealt_into_cells_without_losing_a_pair(spark):
+    # two thirds of the records share one key, some share two, some have none
+    rows = [(f"crm:{i}", "HOT" if i % 3 else None, f"T{i % 7}" if i % 2 else "", "Z" if i == 4 else f"Z{i}") for i in range(60)]
+    records = spark.createDataFrame(rows, "source_record_id string, block_name_key string, block_tax_id string, block_zip3_name4 string")
+    want = {tuple(sorted((a[0], b[0]))) for i, a in enumerate(rows) for b in rows[:i] if any(x and x == y for x, y in zip(a[1:], b[1:], strict=True))}
+    for cell in (1, 4, 59, 2000):
+        got = [tuple(r) for r in matching.blocking_pairs(records, cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert matching.blocking_pairs(records.limit(0), cell=4).count() == 0
+
+
+def test_contained_names_equal_brute_force(spark):
+    names = ["BLUE CROSS", "BLUE CROSS BLUE SHIELD", "BLUE SHIELD", "BLUE CROSS", "ABCABCABC", "ABCABC", "SHORT", "A SHORT ONE", " blue cross of x", None, "", "ABCABCABCABC", "HEALTH", "HEALTH HEALTH"]
+    gold = spark.createDataFrame([(f"g{i}", n) for i, n in enumerate(names)], "master_payor_id string, payor_name string")
+    refs = spark.createDataFrame([("r1", "g1"), ("r2", "g8")], "source_record_id string, master_payor_id string")
+    records = spark.createDataFrame([("r1", "blue shield "), ("r2", "")], "source_record_id string, parent_ref string")
+    clean = {f"g{i}": n.strip().upper() for i, n in enumerate(names) if n is not None}
+    want = {(p, c, "name_substring") for p, x in clean.items() for c, y in clean.items() if len(x) >= 6 and len(x) < len(y) and x in y} | {("g2", "g1", "name_ref_match")}
+    got = [tuple(r) for r in master.infer_hierarchy(gold, refs, records).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
