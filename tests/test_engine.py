@@ -262,3 +262,24 @@ def test_contained_names_equal_brute_force(spark):
     want = {(p, c, "name_substring") for p, x in clean.items() for c, y in clean.items() if len(x) >= 6 and len(x) < len(y) and x in y} | {("g2", "g1", "name_ref_match")}
     got = [tuple(r) for r in master.infer_hierarchy(gold, refs, records).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_double_metaphone():
+    known = {
+        "aubrey": "APR APR", "richard": "RXRT RKRT", "katherine": "K0RN KTRN", "cambrillo": "KMPRL KMPR", "maurice": "MRS MRS", "thumb": "0M TM", "otto": "AT AT", "hugh": "H H",
+        "michael": "MKL MXL", "caesar": "SSR SSR", "chemistry": "KMSTR KMSTR", "chorus": "KRS KRS", "architect": "ARKTKT ARKTKT", "arch": "ARX ARK", "smith": "SM0 XMT", "schmidt": "XMT SMT",
+        "danger": "TNJR TNKR", "sugar": "XKR SKR", "accident": "AKSTNT AKSTNT", "edge": "AJ AJ", "wright": "RT RT", "jose": "HS HS", "knight": "NT NT", "laugh": "LF LF", "thomas": "TMS TMS", "filipowicz": "FLPTS FLPFX",
+    }
+    assert {k: " ".join(kernels.metaphones(k)) for k in known} == known
+    assert kernels.metaphones("") == kernels.metaphones("12 & 3") == ("", "") and kernels.phonetic("12", "12") == 0.0
+    # (p, p), (p, s) and (s, p) count, (s, s) does not; the whole of a text does
+    assert kernels.phonetic("SMITH", "SCHMIDT") == 1.0 and kernels.phonetic("SMITH", "SMYTHE") == 1.0
+    assert kernels.phonetic("BLUE CROSS OF TEXAS", "BLUE CROSS OF OHIO") == 0.0 and kernels.phonetic("UNITEDHEALTHCARE", "UNITED HEALTH CARE") == 1.0
+
+
+def test_fallback_rules_fill_what_the_first_rule_leaves_empty(spark):
+    rows = spark.createDataFrame([("a", "crm", 1, None, "x"), ("b", "claims", 3, "2", None)], "source_record_id string, source_system string, source_trust_rank int, phone string, website string")
+    groups = rows.select(F.lit("g").alias("match_group_id"), "source_record_id")
+    rules = {"phone": ("most_complete", "any_non_null", None), "website": ("source_priority", "most_complete", ["claims"])}
+    got = survivorship.survive(rows, groups, rules, fallbacks=True, figures=[F.count(F.lit(1)).alias("n")]).first()
+    assert (got.phone, got.website, got.n, got.field_sources) == ("2", "x", 2, {"phone": "b", "website": "a"})
