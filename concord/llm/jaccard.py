@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import workers
@@ -51,8 +51,8 @@ ROUNDS = 3
 RESERVE = 8
 #: Partners that are compared with one document in one chunk, and shingles that a block holds, about.
 CHUNK = 256
-#: Bits of the table that tells which texts a step needs.
-MAX_BITS = 1 << 26
+#: Bits of the table that tells which rows a step needs: 64 MB.
+MAX_BITS = 1 << 29
 BLOCK = 500_000
 
 
@@ -155,7 +155,8 @@ def _index(posts: DataFrame, percent: int, whole: bool) -> DataFrame:
     """The prefixes over ``posts`` (tok, doc, n, pos), written."""
     posts = posts.select("tok", "doc", (F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("meta"))
     counts = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-    shared = posts.join(counts, "tok")
+    # most tokens are in one prefix only: they are not shuffled for the join
+    shared = _marked(posts, F.col("tok"), counts.select(F.col("tok").alias("x")), "maybe").where("maybe").drop("maybe").join(counts, "tok")
     per_doc = shared.groupBy("doc", F.shiftright("meta", 31).alias("n")).agg(F.collect_list(F.struct((F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))).alias("pos"), "df", "tok")).alias("found"))
     return written(prefixes(per_doc, percent, whole), "prefixes")
 
@@ -176,15 +177,35 @@ def candidates(index: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (doc, text) whose doc is in ``ids`` (x), and some others: found by a broadcast bit table of at most
-    MAX_BITS, so that the texts of the rest are not shuffled. Beyond that size it lets more through; the joins stay exact."""
+def _marked(rows: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: false where ``key`` (long) is not in ``ids`` (x), true where it is and for some others. Found
+    by a broadcast bit table of at most MAX_BITS, so that rows are not shuffled; of a larger set of ids it marks more others."""
     n = ids.agg(F.approx_count_distinct("x")).first()[0]
-    bits = min(MAX_BITS, max(1 << 10, 1 << (16 * max(1, n) - 1).bit_length()))
-    place = F.pmod(F.xxhash64("x"), F.lit(bits))
-    marks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
-    rows = texts.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(bits))).withColumn("word", F.shiftright("p", 6))
-    return rows.join(F.broadcast(marks), "word").where("shiftrightunsigned(mask, cast(p & 63 as int)) & 1L = 1L").select("doc", "text")
+    bits = min(MAX_BITS, max(1 << 12, 1 << (16 * max(1, n) - 1).bit_length()))
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(bits))
+    block, words = fresh(rows.columns, "_block"), fresh(rows.columns, "_words")
+    # blocks of 64 words of 64 bits
+    masks = ids.select(place(F.col("x")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("w").bitwiseAND(F.lit(63)).cast("int").alias("w"), "mask")))
+    filled = masks.groupBy(F.shiftright("w", 6).alias(block)).agg(held.alias("held"))
+    filled = filled.select(block, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long"))).alias(words))
+    at = place(key)
+    found = rows.withColumn(block, F.shiftright(at, 12)).join(F.broadcast(filled), block, "left")
+    hit = F.getbit(F.element_at(words, (F.shiftright(at, 6).bitwiseAND(F.lit(63)) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop(block, words)
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc, text) whose doc is in ``ids`` (x), and some others: the joins that follow stay exact."""
+    return _marked(texts, F.col("doc"), ids, "maybe").where("maybe").select("doc", "text")
+
+
+def without(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` (long) is null or not in ``ids`` (x). Only those that may be are shuffled."""
+    maybe, gone = fresh(rows.columns, "_maybe"), fresh(rows.columns, "_gone")
+    marked = _marked(rows, key, ids, maybe)
+    some = marked.where(F.col(maybe)).join(ids.select(F.col("x").alias(gone)), key == F.col(gone), "left_anti")
+    return marked.where(~F.col(maybe)).union(some).drop(maybe)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -382,7 +403,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     keyed = sig.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     member = written(join_groups(keyed.select("doc_id", "key"), groups, "key", "size", total).select("doc_id", "rep").distinct(), "members")
-    reps = long.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(member.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
+    reps = without(long.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()), F.col("doc_id"), member.where("doc_id != rep").select(F.col("doc_id").alias("x")))
     index = _index(reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "tok")), percent, False)
     discard(spark, path)
     pairs = candidates(index, percent)
@@ -412,9 +433,8 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     A doc_id names a document, so rows that repeat one stay or go together; null doc_ids stay. Columns may have any name.
     """
-    gone = fresh(docs.columns, "_gone")
-    away = link_components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(away, F.col("doc_id") == F.col(gone), "left_anti")
+    away = link_components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias("x")).distinct()
+    return without(docs, F.col("doc_id").cast("long"), away)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,37 @@ def test_jaccard_large_near_groups(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("max_bits", [jaccard.MAX_BITS, 1 << 12])
+def test_near_copies_go_without_a_shuffle_of_the_texts(spark, monkeypatch, max_bits):
+    """Texts that stay are not dealt out, also where no side is small enough to be broadcast by itself; a full bit table stays exact."""
+    rng = __import__("random").Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    text = {i: " ".join("".join(rng.choices(letters, k=200)) for _ in range(40)) for i in range(300)}
+    rows = [(i, t, "en") for i, t in text.items()] + [(1000 + i, text[i] + " end", "de") for i in range(5)] + [(None, text[7], "fr"), (1002, "one two", "de")]
+    if max_bits == 1 << 12:
+        rows += [(2000 + i, "same text", "en") for i in range(3000)]
+    docs = jaccard.written(spark.createDataFrame(rows, "doc_id long, text string, `la.ng` string"), "docs")
+    monkeypatch.setattr(jaccard, "MAX_BITS", max_bits)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled()
+        got = jaccard.keep_representatives(docs).collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[0] is None or r[0] < 1000 or r[0] == 2000], key=str)
+    if max_bits > 1 << 12:
+        assert moved < 0.5 * sum(map(len, text.values()))
+
+
 def test_packing(odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
