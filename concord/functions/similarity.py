@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions import kernels
+from concord.functions import batch, kernels
 from concord.functions.text import col, digits, present
 from concord.settings import ADDRESS_STOPS, DEFAULT
 
@@ -38,12 +39,33 @@ addr_nrm = _udf(kernels.address_postal, False)
 _ROUTED = T.StructType([T.StructField(f"{f}_{k}", t) for f in ("name", "addr") for k, t in (("score", T.DoubleType()), ("strategy", T.StringType()), ("selected", T.ArrayType(T.StringType())))])
 
 
+def _where_both(a: pd.Series, b: pd.Series, many: Callable[[list, list], list]) -> tuple[list[int], list]:
+    """The places where both values are there, and ``many`` of them."""
+    x, y = a.tolist(), b.tolist()
+    at = [i for i, (s, t) in enumerate(zip(x, y, strict=True)) if s and t]
+    return at, many([x[i] for i in at], [y[i] for i in at])
+
+
 @F.pandas_udf(_ROUTED)
 def routed(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
-    name = cache(lambda a, b: (*kernels.route_name(a, b), kernels.select_name(a, b)) if a and b else (None, None, ()))
-    addr = cache(lambda x, y: (*kernels.route_address(x, y), kernels.select_address(x, y)) if x and y else (None, None, ()))
-    rows = [(*name(a, b), *addr(x, y)) for a, b, x, y in zip(name_a, name_b, addr_a, addr_b, strict=True)]
-    return pd.DataFrame(rows, columns=["name_score", "name_strategy", "name_selected", "addr_score", "addr_strategy", "addr_selected"]).astype({"name_score": "float64", "addr_score": "float64"})
+    out = {}
+    for kind, found in (("name", _where_both(name_a, name_b, batch.route_names)), ("addr", _where_both(addr_a, addr_b, batch.route_addresses))):
+        score, strategy, selected = [None] * len(name_a), [None] * len(name_a), [()] * len(name_a)
+        for i, row in zip(*found, strict=True):
+            score[i], strategy[i], selected[i] = row
+        out |= {f"{kind}_score": pd.Series(score, dtype="float64"), f"{kind}_strategy": pd.Series(strategy, dtype="object"), f"{kind}_selected": pd.Series(selected, dtype="object")}
+    return pd.DataFrame(out)
+
+
+@F.pandas_udf(T.StructType([T.StructField("name_score", T.DoubleType()), T.StructField("addr_score", T.DoubleType())]))
+def routed_scores(name_a: pd.Series, name_b: pd.Series, addr_a: pd.Series, addr_b: pd.Series) -> pd.DataFrame:
+    """The scores of ``routed`` alone."""
+    out = {}
+    for kind, (at, rows) in (("name", _where_both(name_a, name_b, batch.route_names)), ("addr", _where_both(addr_a, addr_b, batch.route_addresses))):
+        score = np.full(len(name_a), np.nan)
+        score[at] = [r[0] for r in rows]
+        out[f"{kind}_score"] = score
+    return pd.DataFrame(out)
 
 
 def both(a: str | Column, b: str | Column, score: Column) -> Column:
@@ -76,8 +98,12 @@ def phone_e164(a: str | Column, b: str | Column) -> Column:
 
 
 def phone_l7(a: str | Column, b: str | Column) -> Column:
-    x, y = digits(a), digits(b)
-    return both(a, b, ((F.length(x) >= 7) & (F.length(y) >= 7) & (F.right(x, F.lit(7)) == F.right(y, F.lit(7)))).cast("double"))
+    return both(a, b, digits_l7(digits(a), digits(b)))
+
+
+def digits_l7(x: Column, y: Column) -> Column:
+    """``phone_l7`` of phones that are digits already."""
+    return ((F.length(x) >= 7) & (F.length(y) >= 7) & (F.right(x, F.lit(7)) == F.right(y, F.lit(7)))).cast("double")
 
 
 def phone_ac(a: str | Column, b: str | Column) -> Column:
@@ -97,9 +123,13 @@ def _differing(x: Column, y: Column) -> Column:
 
 def tin_trans(a: str | Column, b: str | Column) -> Column:
     x, y = digits(a), digits(b)
+    return both(a, b, F.when((x != "") & (y != ""), digits_trans(x, y)))
+
+
+def digits_trans(x: Column, y: Column) -> Column:
+    """``tin_trans`` of ids that are digits already."""
     d = _differing(x, y)
-    score = F.when(x == y, 1.0).when(F.length(x) != F.length(y), 0.0).when(d <= 1, 0.9).when(d == 2, 0.7).otherwise(0.0)
-    return both(a, b, F.when((x != "") & (y != ""), score))
+    return F.when(x == y, 1.0).when(F.length(x) != F.length(y), 0.0).when(d <= 1, 0.9).when(d == 2, 0.7).otherwise(0.0)
 
 
 def tin_pfx(a: str | Column, b: str | Column) -> Column:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.operators.survivorship import survive
+from concord.operators.survivorship import joined, survive_joined
+from concord.storage import stored
 
 _COMPLETE = "payor_name payor_name_alt tax_id npi cms_plan_id address_line_1 city state_code zip_code phone website payor_type line_of_business is_active effective_date".split()
 
 
 def golden(records: DataFrame, groups: DataFrame, **rules: object) -> DataFrame:
-    """One row per group: the surviving fields and the group's figures, from one join and one aggregation."""
-    figures = [F.countDistinct("source_system").alias("source_count"), F.count(F.lit(1)).alias("record_count"), F.avg(F.coalesce("group_confidence", F.lit(1.0))).alias("confidence_score")]
-    s = survive(records, groups, figures=figures, **rules)
+    """One row per group: the surviving fields and the group's figures, from one join and one aggregation.
+
+    Source systems are counted where the next one begins, in the order by system in which a group's records are sorted anyhow.
+    """
+    before = F.lag("source_system").over(Window.partitionBy("match_group_id").orderBy("source_system"))
+    rows = joined(records, groups).withColumn("first_of_source", (F.col("source_system").isNotNull() & ~F.col("source_system").eqNullSafe(before)).cast("long"))
+    figures = [F.sum("first_of_source").alias("source_count"), F.count(F.lit(1)).alias("record_count"), F.avg(F.coalesce("group_confidence", F.lit(1.0))).alias("confidence_score")]
+    s = survive_joined(rows, figures=figures, **rules)
     done = sum((F.col(c).isNotNull().cast("int") for c in _COMPLETE), F.lit(0))
     return s.withColumn("completeness_score", F.round(done / 15.0, 4)).withColumnRenamed("match_group_id", "master_payor_id")
 
@@ -27,8 +33,9 @@ def xref(records: DataFrame, groups: DataFrame) -> DataFrame:
 def infer_hierarchy(gold: DataFrame, refs: DataFrame, records: DataFrame, least: int = 6) -> DataFrame:
     """Parents by reference to a golden name, and by a name contained in a longer one.
 
-    The containment join runs on n-grams of ``least`` characters: a longer name holds all n-grams of a contained
-    name of that length or more, so an equi-join on any one of them loses nothing; ``contains`` then decides. Each
+    The containment join runs on n-grams of ``least`` characters, as hashes: a longer name holds all n-grams of a contained
+    name of that length or more, so an equi-join on any one of them loses nothing; ``contains`` then decides. A name with an n-gram
+    that no other name holds is in none. Each other
     name is looked for by the n-gram of its own that fewest names hold, so that common words, which would be
     hot keys, are joined for those names alone that consist of nothing else. Equal names are joined once.
     """
@@ -39,12 +46,15 @@ def infer_hierarchy(gold: DataFrame, refs: DataFrame, records: DataFrame, least:
         .join(names.select(F.col("master_payor_id").alias("parent_master_id"), "name"), "name").where("parent_master_id != child_master_id")
         .select("parent_master_id", "child_master_id", F.lit("name_ref_match").alias("inference_method"))
     )
-    texts = names.where(F.length("name") >= least).select("name").distinct()
-    grams = texts.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("gram"))
-    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # a gram of one name leads from that name to itself
-    rarest = grams.join(held, "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("x")).where("x.n > 1").select(F.col("name").alias("short"), F.col("x.gram").alias("gram"))
-    inside = grams.withColumnRenamed("name", "long").join(rarest, "gram").where(F.col("long").contains(F.col("short")) & (F.length("short") < F.length("long"))).select("short", "long")
+    texts = stored(names.where(F.length("name") >= least).select("name").distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    grams = lambda df: df.select("id", "name", F.explode(F.sequence(F.lit(1), F.length("name") - (least - 1))).alias("i")).select("id", F.xxhash64(F.substring(F.col("name"), F.col("i"), F.lit(least))).alias("gram"))
+    held = grams(texts).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    alone = held.where(F.col("first") == F.col("last")).select(F.col("first").alias("id")).distinct()
+    shared = stored(texts.join(alone, "id", "left_anti"), "shared")
+    rarest = grams(shared).join(held.where(F.col("first") != F.col("last")).select("gram", "n"), "gram").groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).withColumnRenamed("id", "short_id")
+    found = grams(texts).join(rarest, "gram").where("id != short_id").select("id", "short_id").distinct()
+    both = found.join(shared.select(F.col("id").alias("short_id"), F.col("name").alias("short")), "short_id").join(texts.withColumnRenamed("name", "long"), "id")
+    inside = both.where(F.col("long").contains(F.col("short")) & (F.length("short") < F.length("long"))).select("short", "long")
     by_name = (
         inside.join(names.select(F.col("master_payor_id").alias("parent_master_id"), F.col("name").alias("short")), "short")
         .join(names.select(F.col("master_payor_id").alias("child_master_id"), F.col("name").alias("long")), "long")

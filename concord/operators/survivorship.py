@@ -34,18 +34,19 @@ KINDS = ("source_priority", "most_recent", "most_complete", "longest_value", "ea
 
 def _order(rule: str, field: str, priority: list[str] | None) -> Column:
     """The key whose least value wins; ties go to the least record id."""
-    rid, c = F.col("source_record_id"), F.col(field)
+    c = F.col(field)
     if rule == "source_priority" and priority and priority != _PRIORITY:
         rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("source_system")), F.lit(99))
-        return F.struct(F.when(rank == 0, 99).otherwise(rank).alias("r"), rid.alias("i"))
+        return F.when(rank == 0, 99).otherwise(rank)
     if rule in ("source_priority", "any_non_null", "manual"):
-        return F.struct(F.col("source_trust_rank").alias("r"), rid.alias("i"))
+        return F.col("source_trust_rank")
     if rule == "most_recent":
-        return F.struct(F.col("loaded_at").isNull().alias("n"), (-F.unix_micros("loaded_at")).alias("t"), rid.alias("i"))
+        # nulls last
+        return F.coalesce(-F.unix_micros("loaded_at"), F.lit(2**63 - 1))
     if rule in ("most_complete", "longest_value"):
-        return F.struct((-F.length(c.cast("string"))).alias("l"), rid.alias("i"))
+        return -F.length(c.cast("string"))
     if rule == "earliest":
-        return F.struct(c.alias("v"), rid.alias("i"))
+        return c
     raise ValueError(f"no order for rule {rule}")
 
 
@@ -66,27 +67,48 @@ def value(field: str, rule: str, priority: list[str] | None = None) -> Column:
         return F.max(c)
     if rule == "most_frequent":
         return F.mode(c, True)
-    return F.min_by(c, F.when(_held(field, rule), _order(rule, field, priority)))
+    return picked(field, rule, priority)["value"]
 
 
-def origin(field: str, rule: str, priority: list[str] | None = None) -> Column | None:
-    """The id of the record that the surviving value is from, where the rule takes it from one."""
+def picked(field: str, rule: str, priority: list[str] | None = None) -> Column | None:
+    """The surviving value and the id of the record that it is from, where the rule takes it from one: the least of (order, id, value)."""
     if rule in ("any_true", "most_frequent", "latest"):
         return None
-    return F.min_by("source_record_id", F.when(_held(field, rule), _order(rule, field, priority)))
+    return F.min(F.when(_held(field, rule), F.struct(_order(rule, field, priority).alias("order"), F.col("source_record_id").alias("id"), F.col(field).alias("value"))))
+
+
+def joined(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Records with their groups, dealt out by group: what is aggregated by group then meets in one place before it is aggregated at all.
+
+    Groups have few records, so that to aggregate before the shuffle as well would shuffle more. A group large enough to hold up a task has
+    its pairs among the candidates, which are the square of it.
+    """
+    return records.join(groups, "source_record_id").repartition("match_group_id")
 
 
 def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallbacks: bool = False, overrides: DataFrame | None = None, figures: Sequence[Column] = ()) -> DataFrame:
     """One row per group with the surviving fields, ``field_sources`` and further aggregates (``figures``). ``overrides``: match_group_id, field, value (rule ``manual``)."""
-    rows = records.join(groups, "source_record_id")
-    aggs, sources = [], []
-    for f, (rule, fallback, priority) in rules.items():
-        v = value(f, rule, priority)
-        aggs.append((F.coalesce(v, value(f, fallback, priority or _PRIORITY)) if fallbacks and fallback else v).alias(f))
-        if (o := origin(f, rule, priority)) is not None:
-            sources.append(F.struct(F.lit(f).alias("key"), o.alias("value")))
+    return survive_joined(joined(records, groups), rules, fallbacks, overrides, figures)
+
+
+def survive_joined(rows: DataFrame, rules: dict = RULES, fallbacks: bool = False, overrides: DataFrame | None = None, figures: Sequence[Column] = ()) -> DataFrame:
+    """The same of records that hold their match_group_id."""
+    aggs, values, sources = [], [], []
+    for i, (f, (rule, fallback, priority)) in enumerate(rules.items()):
+        best = picked(f, rule, priority)
+        aggs.append((value(f, rule, priority) if best is None else best).alias(f"_{i}"))
+        v = F.col(f"_{i}")
+        if best is not None:
+            sources.append(F.struct(F.lit(f).alias("key"), v["id"].alias("value")))
+            v = v["value"]
+        if fallbacks and fallback:
+            aggs.append(value(f, fallback, priority or _PRIORITY).alias(f"_{i}_else"))
+            v = F.coalesce(v, F.col(f"_{i}_else"))
+        values.append(v.alias(f))
     found = F.map_from_entries(F.filter(F.array(*sources), lambda e: e["value"].isNotNull())) if sources else F.lit(None).cast("map<string,string>")
-    out = rows.groupBy("match_group_id").agg(*aggs, found.alias("field_sources"), *figures)
+    out = rows.groupBy("match_group_id").agg(*aggs, *figures)
+    further = out.columns[1 + len(aggs) :]
+    out = out.select("match_group_id", *values, found.alias("field_sources"), *further)
     if overrides is not None:
         per = overrides.groupBy("match_group_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("o"))
         out = out.join(per, "match_group_id", "left").withColumns({f: F.coalesce(F.col("o")[f].cast(out.schema[f].dataType), F.col(f)) for f in rules}).drop("o")
@@ -95,6 +117,9 @@ def survive(records: DataFrame, groups: DataFrame, rules: dict = RULES, fallback
 
 def tax_conflicts(records: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups whose records carry several tax ids, as rows for the change log."""
-    rows = records.join(groups.select("match_group_id", "source_record_id"), "source_record_id").where(F.col("tax_id").isNotNull() & (F.col("tax_id") != ""))
+    rows = joined(records.where(F.col("tax_id").isNotNull() & (F.col("tax_id") != "")), groups.select("match_group_id", "source_record_id"))
+    # most groups have one id, which is told without a set
+    several = rows.groupBy("match_group_id").agg(F.min("tax_id").alias("least"), F.max("tax_id").alias("most")).where(F.col("least") != F.col("most"))
+    rows = rows.join(several, "match_group_id", "left_semi")
     sets = rows.groupBy("match_group_id").agg(F.array_sort(F.collect_set("tax_id")).alias("ids")).where("size(ids) > 1")
     return sets.select(F.col("match_group_id").alias("entity_id"), F.lit("conflict_detected").alias("action"), F.lit("tax_id").alias("field_name"), F.array_join("ids", ",").alias("new_value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators import cluster, master, matching, staging
+from concord.settings import DEFAULT
 from concord.sources import feeds
 from concord.storage import stored
 
@@ -32,7 +33,8 @@ class Mastering:
 
     @property
     def staged(self) -> DataFrame:
-        return self._once("staged", lambda: stored(self.records, "records"))
+        """With a ``number`` for each record, any but the same whenever it is read: components are made of numbers, not of texts."""
+        return self._once("staged", lambda: stored(self.records.withColumn("number", F.monotonically_increasing_id()), "records"))
 
     @property
     def pairs(self) -> DataFrame:
@@ -42,7 +44,7 @@ class Mastering:
 
     @property
     def scored(self) -> DataFrame:
-        return self._once("scored", lambda: matching.score_pairs(self.pairs, self.staged))
+        return self._once("scored", lambda: matching.score_pairs(self.pairs, self.staged) if self.decisions is True else matching.score_blocks(self.staged))
 
     @property
     def log(self) -> DataFrame | None:
@@ -54,9 +56,20 @@ class Mastering:
     def candidates(self) -> DataFrame:
         return self._once("candidates", lambda: stored(matching.decide(self.scored, self.log), "candidates"))
 
+    def decided(self, least: float, drop: bool = False) -> DataFrame:
+        """Candidates, by the numbers of their records, as far as decisions at or above ``least`` ask for scores. Stored once, by the first call."""
+        columns = (matching.A, matching.B, "match_rule", "overall_score", "auto_decision", "steward_decision", "final_decision")
+        made = lambda: stored(matching.decide(matching.score_blocks(self.staged, least=least, drop=drop, ident="number")).select(*columns), "decided")
+        return self._once("decided", made)
+
     @property
     def groups(self) -> DataFrame:
-        return self._once("groups", lambda: stored(cluster.groups(self.staged, self.candidates, self.mode, self.ids), "groups"))
+        """Where no steward decides, pairs that are no match need no scores."""
+        if self.decisions is not False or self.mode != "full" or "candidates" in self._made:
+            made = lambda: cluster.groups(self.staged, self.candidates, self.mode, self.ids)
+        else:
+            made = lambda: cluster.groups(self.staged, self.decided(DEFAULT.auto_match, drop=True), self.mode, self.ids, "number")
+        return self._once("groups", lambda: stored(made(), "groups"))
 
     @property
     def golden(self) -> DataFrame:
@@ -68,7 +81,9 @@ class Mastering:
 
     @property
     def hierarchy(self) -> DataFrame:
-        return self._once("hierarchy", lambda: master.infer_hierarchy(self.golden, self.xref, self.staged))
+        """Stored, as most of its readers read it twice."""
+        refs = lambda: self.groups.select("source_record_id", F.col("match_group_id").alias("master_payor_id"))
+        return self._once("hierarchy", lambda: stored(master.infer_hierarchy(self.golden, refs(), self.staged), "hierarchy"))
 
 
 def sample_decisions(pairs: DataFrame) -> DataFrame:

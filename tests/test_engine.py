@@ -1,10 +1,11 @@
+import random
 import uuid
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import kernels
+from concord.functions import batch, kernels
 from concord.functions.text import clean_name, state_from_any, uuid5_dns, zip4, zip5
 from concord.operators import cluster, master, matching, steward, survivorship
 from concord.plans import catalogue
@@ -283,3 +284,79 @@ def test_fallback_rules_fill_what_the_first_rule_leaves_empty(spark):
     rules = {"phone": ("most_complete", "any_non_null", None), "website": ("source_priority", "most_complete", ["claims"])}
     got = survivorship.survive(rows, groups, rules, fallbacks=True, figures=[F.count(F.lit(1)).alias("n")]).first()
     assert (got.phone, got.website, got.n, got.field_sources) == ("2", "x", 2, {"phone": "b", "website": "a"})
+
+
+def test_kernels_of_many_pairs_are_those_of_one():
+    rng = random.Random(1)
+    words = "BLUE CROSS SHIELD OF TEXAS HEALTH PLAN GROUP COMPANIES AETNA BCBS LTD MAIN STREET ST AVENUE 12 3445 9-1 # é İ ß x".split(" ")
+    texts = [rng.choice(["", " ", "\t"]) + " ".join(rng.choice(words) for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+    texts += [t.lower() for t in texts[:500]] + ["A" * n for n in (63, 64, 65)] + ["A\0B", "\0", "AB", "X" * 64 + "é"]
+    slip = lambda t: "".join(rng.choice("ABC 1") if rng.random() < 0.1 else c for c in t)
+    pairs = [(t, u) for t in texts for u in (t, slip(t), rng.choice(texts)) if t and u]
+    a, b = map(list, zip(*pairs, strict=True))
+    assert batch.jaro_winkler(a, b).tolist() == [kernels.jaro_winkler(*p) for p in pairs] and batch.trigram_cosine(a, b).tolist() == [kernels.trigram_cosine(*p) for p in pairs]
+    assert batch.route_names(a, b) == [(*kernels.route_name(*p), kernels.select_name(*p)) for p in pairs]
+    assert batch.route_addresses(a, b) == [(*kernels.route_address(*p), kernels.select_address(*p)) for p in pairs]
+    assert batch.route_names([], []) == batch.route_addresses([], []) == []
+
+
+def test_decisions_are_the_same_without_the_scores_that_do_not_bear_on_them(spark):
+    m = mastering(spark, "/root/testdata/sf0.001")
+    whole = matching.decide(matching.score_pairs(m.pairs, m.staged)).select(matching.A, matching.B, "match_rule", "overall_score", "auto_decision").collect()
+    for least in (0.85, 0.6, 0.0):
+        got = matching.decide(matching.score_blocks(m.staged, least=least)).select(matching.A, matching.B, "match_rule", "overall_score", "auto_decision")
+        kept = matching.decide(matching.score_blocks(m.staged, least=least, drop=True)).select(*got.columns).collect()
+        above = {tuple(r) for r in whole if r.match_rule != "FUZZY" or r.overall_score >= least}
+        rows = got.collect()
+        assert len(rows) == len(whole) and {r[:3] for r in rows} == {r[:3] for r in whole}
+        assert {tuple(r) for r in rows if r.overall_score is not None and r.overall_score >= least} == above
+        assert {tuple(r) for r in kept if r.overall_score is not None and r.overall_score >= least} == above and len(kept) == len(set(kept)) <= len(rows)
+
+
+def _plans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_scored_where_they_meet_and_read_one_shuffle(spark):
+    """Pairs are not shuffled again to be made distinct or to fetch their records, and a pair that shares several keys is listed once."""
+    columns = "source_record_id string, block_name_key string, block_tax_id string, block_zip3_name4 string"
+    records = spark.createDataFrame([("a", "N", "T", "Z"), ("b", "N", "T", "Z"), ("c", "M", "T", "Z"), ("d", "N", None, "Z"), (None, "N", "T", "Z")], columns)
+    for cell in (1, 2000):
+        met = matching._met(records, {"zip": F.col("block_zip3_name4")}, cell=cell)
+        assert sorted(map(tuple, met.collect())) == [(x, y, "Z", "Z") for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")]
+    assert "Aggregate" not in _plans(met).split("Join")[0]
+
+
+def test_feeds_are_spread_over_all_cores(spark):
+    raw = feeds.derive(spark, "/root/testdata/sf0.001")
+    assert all(df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for df in raw.values())
+
+
+def test_groups_by_number_are_those_by_id(spark):
+    m = mastering(spark, "/root/testdata/sf0.001")
+    columns = ["match_group_id", "source_record_id", "is_survivor", "group_confidence"]
+    for ids in ("md5", "uuid5"):
+        by_id = cluster.groups(m.staged, m.candidates, ids=ids).select(columns).collect()
+        by_number = cluster.groups(m.staged, m.decided(0.85, drop=True), ids=ids, ident="number").select(columns).collect()
+        assert len(by_id) == len(by_number) and set(by_id) == set(by_number) and m.staged.select("number").distinct().count() == len(by_id)
+
+
+def test_aggregation_by_group_shuffles_records_once(spark):
+    """Buffers of some thirty aggregates are several times a record: they are made where a group's records lie, and source systems are counted there too."""
+    m = mastering(spark, "/root/testdata/sf0.001")
+    plan = _plans(master.golden(m.staged, m.groups))
+    assert plan.count("Exchange hashpartitioning(match_group_id") == 1 and "partial_count(distinct" not in plan
+    rows = spark.createDataFrame([("a", "crm", 1), ("b", "crm", 1), ("c", "claims", 3), ("d", None, 9), ("e", None, 9)], "source_record_id string, source_system string, source_trust_rank int")
+    for f in {*survivorship.RULES} - {"is_active", "effective_date", "termination_date"}:
+        rows = rows.withColumn(f, F.lit("x"))
+    rows = rows.withColumns({"is_active": F.lit(True), "effective_date": F.current_date(), "termination_date": F.current_date(), "loaded_at": F.current_timestamp()})
+    groups = rows.select(F.when(F.col("source_record_id") == "e", "h").otherwise("g").alias("match_group_id"), "source_record_id", F.lit(None).cast("double").alias("group_confidence"))
+    assert {(r.master_payor_id, r.source_count, r.record_count) for r in master.golden(rows, groups).collect()} == {("g", 2, 4), ("h", 0, 1)}
+
+
+def test_hierarchy_is_made_once(spark, monkeypatch):
+    m = mastering(spark, "/root/testdata/sf0.001")
+    made = []
+    infer = master.infer_hierarchy
+    monkeypatch.setattr(master, "infer_hierarchy", lambda *a: made.append(1) or infer(*a))
+    assert "Generate" not in _plans(m.hierarchy) and "Generate" not in _plans(master.unassigned(m.golden, m.hierarchy)) and made == [1]
