@@ -14,7 +14,7 @@ from concord.operators import cluster, master, matching, quality, staging, stewa
 from concord.plans import oracle
 from concord.plans.oracle import BOTH, cmp, jac, ngr, nrm, sql, trans
 from concord.plans.pipeline import Mastering, mastering, sample_decisions
-from concord.settings import ABBREVIATIONS
+from concord.settings import ABBREVIATIONS, DEFAULT
 from concord.sources import mess, schemas
 
 _STAGED = "source_record_id source_system source_id payor_name payor_name_clean payor_name_alt tax_id npi cms_plan_id address_line_1 address_line_2 city state_code zip_code zip_plus_4 phone website payor_type line_of_business parent_ref is_active effective_date termination_date source_trust_rank".split()
@@ -171,9 +171,10 @@ def _kpis(spark: SparkSession, d: str) -> DataFrame:
 def _dq(spark: SparkSession, d: str) -> DataFrame:
     """Failing rows of each data-quality assertion."""
     m = mastering(spark, d)
+    candidates = m.decided(DEFAULT.auto_match)
     checks = {
         "not_null_tax": quality.not_null(m.staged, "tax_id"), "unique_record": quality.unique(m.staged, "source_record_id"), "unique_tax": quality.unique(m.staged, "tax_id"),
-        "accepted_decision": quality.accepted(m.candidates, "final_decision", ["match", "no_match"]), "accepted_rule": quality.accepted(m.candidates, "match_rule", ["DET-1", "DET-2"]),
+        "accepted_decision": quality.accepted(candidates, "final_decision", ["match", "no_match"]), "accepted_rule": quality.accepted(candidates, "match_rule", ["DET-1", "DET-2"]),
         "fk_xref_golden": quality.relationship(m.xref, "master_payor_id", m.golden, "master_payor_id"), "orphans": quality.orphans(m.staged, m.xref),
     }
     out = None
