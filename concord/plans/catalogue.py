@@ -16,6 +16,7 @@ from concord.plans.oracle import BOTH, cmp, jac, ngr, nrm, sql, trans
 from concord.plans.pipeline import Mastering, mastering, sample_decisions
 from concord.settings import ABBREVIATIONS, DEFAULT
 from concord.sources import mess, schemas
+from concord.storage import stored
 
 _STAGED = "source_record_id source_system source_id payor_name payor_name_clean payor_name_alt tax_id npi cms_plan_id address_line_1 address_line_2 city state_code zip_code zip_plus_4 phone website payor_type line_of_business parent_ref is_active effective_date termination_date source_trust_rank".split()
 _KEYS = "source_record_id_a source_record_id_b"
@@ -168,6 +169,12 @@ def _kpis(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _review_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Stored before it is sorted: the sort reads its input twice. Pairs that are no review need no scores."""
+    rows = matching.decide(matching.score_blocks(mastering(spark, d).staged, least=DEFAULT.review, drop=True)).select(_CAND)
+    return matching.review_queue(stored(rows.where("auto_decision = 'review'"), "reviews"))
+
+
 def _dq(spark: SparkSession, d: str) -> DataFrame:
     """Failing rows of each data-quality assertion."""
     m = mastering(spark, d)
@@ -281,7 +288,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "ensemble_scores": (lambda s, d: mastering(s, d).scored.select(_SCORE), sql(f"SELECT {', '.join(_SCORE)} FROM scored".replace("source_record_id_a source_record_id_b", "source_record_id_a, source_record_id_b"))),
     "match_candidates": (lambda s, d: matching.decide(mastering(s, d).scored).select(_CAND), sql(f"SELECT {', '.join(_CAND)} FROM cand")),
     "candidates_with_decisions": (lambda s, d: matching.decide((m := mastering(s, d, decisions=True)).scored, m.log).select(_CAND), sql(f"SELECT {', '.join(_CAND)} FROM cand_d")),
-    "review_queue": (lambda s, d: matching.review_queue(matching.decide(mastering(s, d).scored)).select(_CAND), sql(f"SELECT {', '.join(_CAND)} FROM cand WHERE auto_decision = 'review' AND steward_decision IS NULL")),
+    "review_queue": (_review_queue, sql(f"SELECT {', '.join(_CAND)} FROM cand WHERE auto_decision = 'review' AND steward_decision IS NULL")),
     "groups_connected": (lambda s, d: mastering(s, d).groups, sql("SELECT match_group_id, source_record_id, is_survivor, group_confidence FROM grp")),
     "groups_connected_uuid": (lambda s, d: mastering(s, d, ids="uuid5").groups, None),
     "groups_three_hop": (
