@@ -161,7 +161,8 @@ def _field_sources_sql() -> str:
 
 def _kpis(spark: SparkSession, d: str) -> DataFrame:
     m = mastering(spark, d)
-    parts = {"records": m.staged, "golden": m.groups.where("is_survivor"), "candidates": m.candidates, "pending_reviews": m.candidates.where("auto_decision = 'review' and steward_decision is null"), "matches": m.candidates.where("final_decision = 'match'")}
+    candidates = m.decided(DEFAULT.review)
+    parts = {"records": m.staged, "golden": m.groups.where("is_survivor"), "candidates": candidates, "pending_reviews": candidates.where("auto_decision = 'review' and steward_decision is null"), "matches": candidates.where("final_decision = 'match'")}
     out = None
     for k, v in parts.items():
         row = v.agg(F.count(F.lit(1)).alias("value")).select(F.lit(k).alias("kpi"), "value")
